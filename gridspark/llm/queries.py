@@ -4,15 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, rules, simhash
+from . import chat, mixing, packing, rules, simhash, tokens
 from .common import table
 
+#: Files of public tokenizers, by their folder's own lookup; operators take the path as a parameter.
+BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+    return counted.select(F.col("id").alias("doc_id"), "n_chars", "n_tokens")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), BPE)
+    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(pieces)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -35,6 +50,6 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "part")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash, op7_quality_rules, op8_chat_format, op9_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_simhash, op7_quality_rules, op8_chat_format, op9_mix)}
 
 ORACLE: dict[str, str] = {}
