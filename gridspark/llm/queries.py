@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, rules, simhash, tokens
+from . import chat, langid, mixing, packing, rules, simhash, tokens
 from .common import table
 
 #: Files of public tokenizers, by their folder's own lookup; operators take the path as a parameter.
@@ -50,6 +50,14 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "part")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_simhash, op7_quality_rules, op8_chat_format, op9_mix)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 3 == 1
+    model = langid.learn(docs, PIECES, use=~held_out("doc_id"))
+    found = langid.identify(docs, model, PIECES)
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_packing, op5_simhash, op7_quality_rules, op8_chat_format, op9_mix, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
