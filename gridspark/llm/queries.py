@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, rules, simhash, suffix, tokens
+from . import chat, langid, mixing, packing, quality, rules, simhash, suffix, tokens
 from .common import table
 
 #: Files of public tokenizers, by their folder's own lookup; operators take the path as a parameter.
@@ -39,6 +39,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) % 4 == 2
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), use=~held_out("doc_id"))
+    out = quality.score(docs, model)
+    return out.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules.judge(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
@@ -64,6 +72,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_suffix_dedup, op5_simhash, op7_quality_rules, op8_chat_format, op9_mix, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_suffix_dedup, op5_simhash, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_mix, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
