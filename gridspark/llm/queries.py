@@ -8,7 +8,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, mixing, packing, quality, rules, simhash, suffix, tokens
+from . import chat, embeddings, langid, mixing, packing, quality, rules, simhash, suffix, tokens
 from .common import table
 
 #: Files of public tokenizers, by their folder's own lookup; operators take the path as a parameter.
@@ -17,6 +17,10 @@ BPE, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), PIECES)
     return counted.select(F.col("id").alias("doc_id"), "n_chars", "n_tokens")
@@ -72,6 +76,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_token_counts, op3_packing, op4_suffix_dedup, op5_simhash, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_mix, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_packing, op4_suffix_dedup, op5_simhash, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_mix, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
