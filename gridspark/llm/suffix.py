@@ -293,9 +293,9 @@ def repeats(docs: DataFrame, staged: Staged, *, id_col: str = "doc_id", text_col
     return found.where("kind = 0").select("doc", "tag", "start", "stop").unionByName(more)
 
 
-def remove_repeats(docs: DataFrame, keep: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 100, gram: int = 40) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 100, gram: int = 40, as_text: bool = False) -> DataFrame:
     """One row per input row: `row` (a struct of the `keep` columns, by default all), n_bytes, spans (maximal removed
-    runs of bytes, in order) and kept (the other bytes)."""
+    runs of bytes, in order) and kept (the other bytes) or, with as_text, text (without characters that lost a byte)."""
     keep = list(docs.columns if keep is None else keep)
     staged = Staged(docs.sparkSession, "suffix")
     spans = repeats(docs, staged, id_col=id_col, text_col=text_col, depth=depth, gram=gram)
@@ -318,7 +318,9 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, *, id_col: st
                 lengths.append(len(raw))
                 all_spans.append(runs_)
                 kept.append(b"".join(raw[i:j] for i, j in zip(cuts[::2], cuts[1::2])) if runs_ else raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(all_spans, span), pa.array(kept, pa.binary())], names=["row", "n_bytes", "spans", "kept"])
+            last = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int64()), pa.array(all_spans, span), last], names=["row", "n_bytes", "spans", name])
 
+    name = "text" if as_text else "kept"
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"row {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    return joined.mapInArrow(cut, f"row {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, {name} {'string' if as_text else 'binary'}")
