@@ -168,7 +168,7 @@ class ArrayFrame:
         df = self._spark().range(dims[0] if dims else 1)
         df = df.withColumnRenamed("id", "d0") if dims else df.drop("id")
         for k, d in enumerate(dims[1:], 1):
-            df = df.withColumn(f"d{k}", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).cast("bigint")) if d else df.where(F.lit(False)).withColumn(f"d{k}", F.lit(0).cast("bigint"))
+            df = df.withColumn(f"d{k}", F.explode(F.sequence(F.lit(0), F.lit(d - 1)).cast("array<bigint>"))) if d else df.where(F.lit(False)).withColumn(f"d{k}", F.lit(0).cast("bigint"))
         return df
 
     def with_linear(self, name: str = "i") -> DataFrame:
