@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ class Lattice:
         marked = [MARK + w.replace(GAP, "\x01") for w in words]
         lengths = np.fromiter(map(len, marked), np.int64, len(marked))
         joined = GAP.join(marked)
-        found = np.array([(e, i) for e, i in v.automaton.iter(joined)], np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(v.automaton.iter(joined)), np.int64).reshape(-1, 2)
         end, piece = found[:, 0] + 1, found[:, 1]
         start = end - v.lengths[piece]
         # Characters without a piece of their own are edges of their bytes.
@@ -205,34 +206,54 @@ def learn(docs: DataFrame, path: str, *, use: Column | None = None, text_col: st
     return model
 
 
+#: Words whose scores a worker keeps; beyond it those seen in one text only go.
+KEPT = 600_000
+
+
 class Scores(dict):
     """Places in a table of log probabilities of words, remembered within a bound."""
 
     def __init__(self, v: Vocabulary, model: Model):
-        self.v, self.model, self.table, self.n = v, model, np.zeros((1 << 12, len(model.languages))), 0
+        self.v, self.model, self.n = v, model, 0
+        self.table, self.texts = np.zeros((1 << 14, len(model.languages))), np.zeros(1 << 14, np.int32)
 
     def add(self, texts: list[list[str]]) -> None:
         """Makes room for the words of these texts, and computes those that are new."""
-        if self.n > CACHE:
-            self.clear()
-            self.n = 0
-        new = list({w for t in texts for w in t} - self.keys())
+        if self.n > KEPT:
+            self._thin()
+        new = list(set(chain.from_iterable(texts)).difference(self))
         need = self.n + len(new)
         if need > len(self.table):
-            self.table = np.vstack([self.table, np.zeros((max(need, len(self.table)), self.table.shape[1]))])
+            more = max(need - len(self.table), len(self.table) // 2)
+            self.table = np.vstack([self.table, np.zeros((more, self.table.shape[1]))])
+            self.texts = np.r_[self.texts, np.zeros(more, np.int32)]
         for s in blocks(new):
-            self.table[self.n : self.n + len(new[s])] = Lattice(self.v, new[s]).log_probability(self.model.logp)
-            for w in new[s]:
-                self[w] = self.n
-                self.n += 1
-
-    def drop_long(self) -> None:
-        """Long words are not kept: their text would not be bounded."""
-        for w in [w for w in self if len(w) > CACHE_LENGTH]:
-            del self[w]
+            part = new[s]
+            self.table[self.n : self.n + len(part)] = Lattice(self.v, part).log_probability(self.model.logp)
+            self.texts[self.n : self.n + len(part)] = 0
+            self.update(zip(part, range(self.n, self.n + len(part))))
+            self.n += len(part)
+
+    def _thin(self) -> None:
+        """Keeps words of several texts, if they are at most half of the bound; long words are never kept."""
+        keep = [(w, i) for w, i in self.items() if self.texts[i] > 1 and len(w) <= CACHE_LENGTH]
+        keep = keep if len(keep) <= KEPT // 2 else []
+        at = np.array([i for _, i in keep], np.int64)
+        self.table[: len(at)], self.n = self.table[at], len(at)
+        self.texts[: len(at)] = 0
+        self.clear()
+        self.update((w, k) for k, (w, _) in enumerate(keep))
+
+    def drop_long(self, texts: list[list[str]]) -> None:
+        """Forgets the long words of these texts: their length has no bound."""
+        for w in chain.from_iterable(texts):
+            if len(w) > CACHE_LENGTH:
+                self.pop(w, None)
 
     def text(self, words: list[str]) -> np.ndarray:
-        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.texts[at] += 1
+        return self.table[at].sum(0)
 
 
 def has_letter(text: str) -> bool:
@@ -255,7 +276,7 @@ def identify(docs: DataFrame, model: Model, path: str, *, id_col: str = "doc_id"
                     x = scores.text(words) / np.sqrt(len(words))
                     best = int(x.argmax())
                     pred[i], conf[i] = languages[best], 1 / np.exp(x - x[best]).sum()
-                scores.drop_long()
+                scores.drop_long([w for _, w in held])
                 held.clear()
 
             for i, t in enumerate(b.column(1)):
