@@ -404,6 +404,8 @@ def blosc_decode(data: bytes) -> bytes:
     name = _BLOSC_CODECS[flags >> 5] if flags >> 5 < len(_BLOSC_CODECS) else None
     if name is None or not block or not size:
         raise FormatError("unknown blosc stream")
+    if total > 1 << 33:
+        raise FormatError("blosc chunk is too large")
     out = bytearray()
     for k, at in enumerate(struct.unpack_from(f"<{-(-total // block)}I", data, 16)):
         n = min(block, total - k * block)
@@ -470,13 +472,20 @@ def encode_one(f: Filter, data: bytes, size: int) -> bytes:
 
 
 def decode_one(f: Filter, data: bytes, size: int) -> bytes:
+    """Decodes one filter; whatever a broken stream does to a library below becomes a FormatError."""
+    try:
+        return _decode_one(f, data, size)
+    except (FormatError, MemoryError):
+        raise
+    except (zlib.error, struct.error, IndexError, ValueError, OSError, OverflowError) as e:
+        raise FormatError(f"{f.name}: {e}") from None
+
+
+def _decode_one(f: Filter, data: bytes, size: int) -> bytes:
     from . import szip
 
     if f.name == "deflate":
-        try:
-            return zlib.decompress(data)
-        except zlib.error as e:
-            raise FormatError(f"deflate: {e}") from None
+        return zlib.decompress(data)
     if f.name == "shuffle":
         return unshuffle(data, f.params[0] if f.params else size)
     if f.name == "fletcher32":

@@ -117,12 +117,13 @@ class ArrayFrame:
 
     def select(self, what) -> ArrayFrame:
         """The cells of a selection, renumbered from 0; indexed axes go."""
-        s = Selection.of(what).simplified(self.shape)
-        if s.kind == "points":
-            return self.points(s.coords)
-        shape = s.out_shape(self.shape)
+        given = Selection.of(what)
+        if given.kind == "points":
+            return self.points(given.coords)
+        shape, s = given.out_shape(self.shape), given.simplified(self.shape)
         if s.kind == "none":
-            return ArrayFrame(self.df.where(F.lit(False)).select(F.col("d0") if self.ndim else F.lit(0).cast("bigint").alias("d0"), "v"), Extents.of(shape), self.type, self.fill)
+            at = [F.lit(0).cast("bigint").alias(n) for n in names(len(shape))]
+            return ArrayFrame(self.df.where(F.lit(False)).select(*at, "v"), Extents.of(shape), self.type, self.fill)
         axes = s.axes(self.shape)
         p = s.predicate(self.shape, self.names)
         df = self.df if p is None else self.df.where(p)

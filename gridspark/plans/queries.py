@@ -493,3 +493,49 @@ def filter_pipeline_round_trip(spark, sf):
     pipe = K.Pipeline([K.Filter("shuffle"), K.Filter("deflate", (6,)), K.Filter("fletcher32")])
     df = df.withColumn("enc", K.encode_column("raw", pipe, 4)).withColumn("dec", K.decode_column("enc", pipe, 4))
     return df.select("doc_id", (F.col("raw") == F.col("dec")).alias("same"), (F.octet_length("enc") < F.octet_length("raw")).alias("smaller"))
+
+
+# The container itself: written to the shared folder, read back by the data source
+
+
+def container(spark, sf, filters=()) -> str:
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.write import ContainerWriter
+
+    path = f"{shared_dir(spark).removeprefix('file://')}/{uuid.uuid4().hex}.h5"
+    with ContainerWriter(path) as w:
+        w.array("/g/matrix", emb(spark, sf), chunk=(256, 16), filters=filters)
+        w.soft("/alias", "/g/matrix")
+    return path
+
+
+@query(f"select d0, d1, v from {EMB}")
+def container_scan(spark, sf):
+    from ..sources.h5 import read_array
+
+    return read_array(spark, container(spark, sf), "/g/matrix").df
+
+
+@query(f"select d0 - 10 as d0, (d1 - 3) // 5 as d1, v from {EMB} where d0 >= 10 and d0 < 200 and d1 >= 3 and (d1 - 3) % 5 = 0 and d1 < 40")
+def container_slab(spark, sf):
+    from ..sources.h5 import read_array
+
+    path = container(spark, sf, [K.Filter("shuffle"), K.Filter("deflate", (4,)), K.Filter("fletcher32")])
+    return read_array(spark, path, "/alias").select(s_[10:200, 3:40:5]).df
+
+
+@query("select c.i * 256 as offset0, j.j * 16 as offset1, 16384::bigint as bytes from (select unnest(range(((select count(*) from embeddings) + 255) // 256)) as i) c, (select unnest(range(4)) as j) j")
+def container_chunks(spark, sf):
+    from ..sources.h5 import chunk_table
+
+    return chunk_table(spark, container(spark, sf), "/g/matrix").select("offset0", "offset1", "bytes")
+
+
+@query("select '/' as path, 'group' as kind union all select '/g', 'group' union all select '/g/matrix', 'dataset'")
+def container_catalog(spark, sf):
+    from ..sources.h5 import read_catalog
+
+    c = read_catalog(spark, container(spark, sf))
+    return c.paths().join(c.objects, "obj").select("path", "kind")

@@ -319,7 +319,8 @@ def read_values(path: str, dataset: str, what: Any = None) -> Any:
                 v = cells.reshape(v.shape[: len(p.dims)])
             out[tuple(slice(a, a + s.stop) for a, s in zip(b[0], inside))] = v
         if not p.dims:
-            return out.item() if plain else out[()]
+            v = out.item()
+            return v.item() if isinstance(v, np.ndarray) else v
         if what is None:
             return out
         s = Selection.of(what)
