@@ -78,4 +78,36 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_packing, op4_suffix_dedup, op5_simhash, op6_quality_classifier, op7_quality_rules, op8_chat_format, op9_mix, op10_language_id)}
 
-ORACLE: dict[str, str] = {}
+#: SQL over the same tables for the queries that DuckDB can express: no fingerprints, vocabularies, trained models or hash-random keys.
+ORACLE: dict[str, str] = {
+    "op1_embedding_dedup": """
+with recursive v as (select vec_id as id, embedding::double[] as e from embeddings),
+link as (select a.id as a, b.id as b from v a join v b on a.id <> b.id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) as (select id, id from v union select r.a, l.b from reach r join link l on r.b = l.a),
+comp as (select a, min(b) as component_id from reach group by 1),
+n as (select a, count(*) as n_links from link group by 1)
+select id as vec_id, coalesce(n_links, 0) as n_links, component_id, id = component_id as kept
+from v join comp on v.id = comp.a left join n on v.id = n.a""",
+    "op4_suffix_dedup": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, s, substr(h, 2 * s + 1, 200) as x from (select doc_id, h, unnest(range(greatest(n - 99, 0))) as s from d)),
+later as (select doc_id, s from (select doc_id, s, row_number() over (partition by x order by doc_id, s) as k from w) where k > 1),
+runs as (select doc_id, s, sum(fresh) over (partition by doc_id order by s) as run
+         from (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 100 then 0 else 1 end as fresh from later)),
+spans as (select doc_id, run, min(s) as a, max(s) + 100 as b from runs group by 1, 2),
+cuts as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, list(b order by a) as ends, list(a order by a) as starts from spans group by 1),
+kept as (select doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' order by lo) as k
+         from (select d.doc_id, h, unnest([0] || ends) as lo, unnest(starts || [n]) as hi from d join cuts using (doc_id)) group by 1)
+select d.doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from d left join cuts using (doc_id) left join kept using (doc_id)""",
+    "op8_chat_format": """
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, n, r, chr(92) || '### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) x(n, r)),
+e as (select *, length(role) + length(text) + 24 as plain,
+      length(regexp_replace(role || chr(10) || text, '[^' || chr(92) || chr(92) || ']', '', 'g')) + (length(role || chr(10) || text) - length(replace(role || chr(10) || text, '<|', '|'))) as escapes from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(plain + escapes)::bigint as formatted_chars
+from e group by 1""",
+}
