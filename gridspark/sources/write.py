@@ -137,6 +137,77 @@ class ContainerWriter:
         t, extents, value = _described(value, type, extents)
         node.attrs.append((name, t, extents, value))
 
+    def relink(self, old: str, new: str) -> None:
+        """Moves a link. The new place is made first, so a failure leaves the old one."""
+        *head, name = parts(old)
+        parent = self._find("/".join(head))
+        if name not in parent.links:
+            raise LinkError(f"no {old!r}")
+        self._add(new, parent.links[name])
+        del parent.links[name]
+
+    def take_over(self, old) -> None:
+        """All objects of a parsed container, with their stored bytes as they are; only elements of variable length are written anew."""
+        made: dict[int, _Node] = {}
+
+        def node_of(address: int) -> _Node:
+            if address in made:
+                made[address].references += 1
+                return made[address]
+            o = old.objects[address]
+            if o.kind == "unsupported":
+                raise FormatError(f"an object cannot be taken over: {o.reason}")
+            node = made[address] = _Node(o.kind, comment=o.comment)
+            for a in o.attrs:
+                value = a.value if not a.extents.is_scalar else [a.value]
+                node.attrs.append((a.name, a.type, a.extents, value if a.value is not None else []))
+            if o.kind == "type":
+                node.messages = [(DATATYPE, D.encode(o.type))]
+            elif o.kind == "dataset":
+                self._take_dataset(old, o, node)
+            for x in o.links:
+                node.links[x.name] = ("hard", node_of(x.child)) if x.kind == "hard" else ("soft", x.path) if x.kind == "soft" else ("external", x.file, x.path)
+            return node
+
+        self.root = node_of(old.root)
+
+    def _take_dataset(self, old, o, node: _Node) -> None:
+        from .h5 import boxes_of, elements, plan_of
+
+        same = o.dtype == D.stored(o.type) and not o.type.has_vlen
+        fill = o.fill if o.fill and same else b""
+        node.messages = [(DATASPACE, space_message(o.extents)), (DATATYPE, D.encode(o.type)), (FILL, struct.pack("<4B", 2, 3 if o.pipeline.filters else 2, 0, 1) + struct.pack("<I", len(fill)) + fill)]
+        if o.pipeline.filters:
+            node.messages.append((PIPELINE, pipeline_message(o.pipeline)))
+        if o.layout == "virtual":
+            raise FormatError("a virtual dataset is not taken over: make it again")
+        plan = plan_of(old, o)
+        found = []
+        for box in boxes_of(o, old, [(0, d - 1) for d in plan.dims]):
+            at, shape, address, stored, mask = box
+            if o.layout == "chunked":
+                if address == UNDEFINED:
+                    continue
+                if same and not mask:
+                    packed = old.io.at(address, stored)
+                else:
+                    packed = o.pipeline.encode(self._again(old, o, elements(plan, old, *box)), o.type.size)
+                found.append((at, self._put(packed), len(packed)))
+            elif o.layout == "compact" or address != UNDEFINED:
+                raw = self._again(old, o, elements(plan, old, *box))
+                place = self._put(raw, 8 if not found else 1)
+                found.append((at, place, len(raw)))
+        if o.layout == "chunked":
+            self._chunk_layout(node, o.type, o.chunk, found, o.extents)
+        else:
+            node.messages.append((LAYOUT, struct.pack("<BBQQ", 3, 1, found[0][1] if found else UNDEFINED, o.extents.size * o.type.size)))
+
+    def _again(self, old, o, values: np.ndarray) -> bytes:
+        if not o.type.has_vlen:
+            return values.astype(D.stored(o.type)).tobytes() if values.dtype.names is None and D.stored(o.type).subdtype is None else values.tobytes()
+        flat = values.reshape(-1)
+        return self._with_addresses(b"".join(self._element(D.to_python(x, o.type, old.payload), o.type) for x in flat), o.type)
+
     # Elements
 
     def _heap_slot(self, data: bytes, n: int) -> bytes:
