@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces by exact-complement hashing.
 
 Only the number of pieces of each length matters for the plan, at most `size` numbers however many
-pieces there are. From the longest length down, an index of single, pair and triple sums of the lengths that are
+pieces there are. From the longest length down, an index of single, then pair, then triple sums of the lengths that are
 still available finds what fills a gap exactly, as many times at once as the counts
-allow; what is left is placed by best fit, again by counts. A plan is then a short list of patterns
+allow; what is left is placed by best fit, again by counts. Of the plans that stop after fewer passes the best is taken. A plan is then a short list of patterns
 with multiplicities, and a piece finds its place by its rank among the pieces of its length.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed as rows of
@@ -111,16 +111,28 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class Plan:
-    """Patterns (lengths that share a sequence, how many such sequences) for given counts of lengths."""
+    """Patterns (lengths that share a sequence, how many such sequences) for given counts of lengths.
 
-    def __init__(self, counts: dict[int, int], size: int):
+    Exact fillings by one more piece are taken first for all lengths, then by two, then by three; `widest` says how many of these passes run
+    before the best fit."""
+
+    def __init__(self, counts: dict[int, int], size: int, widest: int = 3):
         self.size, self.left, self.patterns = size, np.zeros(size + 1, np.int64), []
         for length, n in counts.items():
             self.left[length] += n
-        for length in range(size, 0, -1):
-            self._exact(length)
+        if self.left[size]:
+            self._take((size,))
+        for pieces in range(1, widest + 1):
+            for length in range(size - 1, 0, -1):
+                if self.left[length]:
+                    self._exact(length, pieces)
         self._best_fit()
 
+    @classmethod
+    def best(cls, counts: dict[int, int], size: int) -> Plan:
+        """The plan of fewest sequences over how many exact passes run; all read the same few counts."""
+        return min((cls(counts, size, widest) for widest in (3, 2, 1, 0)), key=lambda p: p.sequences)
+
     def _take(self, lengths: tuple[int, ...]) -> bool:
         """Uses up the pattern as often as the counts allow."""
         need = {x: lengths.count(x) for x in lengths}
@@ -131,20 +143,20 @@ class Plan:
                 self.left[x] -= n * k
         return n > 0
 
-    def _exact(self, length: int) -> None:
+    def _exact(self, length: int, pieces: int) -> None:
+        """Fills the gap beside a length with so many pieces, as often as the counts allow."""
         gap = self.size - length
-        if gap == 0:
-            if self.left[length]:
-                self._take((length,))
-            return
-        if self.left[length] and self.left[gap]:
-            self._take((length, gap))
-        self._pairs((length,), gap)
-        for a in range(gap - 2, 0, -1):
-            if not self.left[length]:
-                return
-            if self.left[a]:
-                self._pairs((length, a), gap - a)
+        if pieces == 1:
+            if self.left[gap]:
+                self._take((length, gap))
+        elif pieces == 2:
+            self._pairs((length,), gap)
+        else:
+            for a in range(gap - 2, 0, -1):
+                if not self.left[length]:
+                    return
+                if self.left[a]:
+                    self._pairs((length, a), gap - a)
 
     def _pairs(self, head: tuple[int, ...], gap: int) -> None:
         """Pairs of available lengths whose sum is the gap, the larger first."""
@@ -220,7 +232,7 @@ def pack(pieces: DataFrame, *, size: int = 1024, length_col: str = "length", row
     counts = {int(r[0]): int(r[1]) for r in t.groupBy(length).count().collect()}  # at most `size` rows
     if any(x < 1 or x > size for x in counts):
         raise ValueError(f"lengths must be from 1 to {size}")
-    slots = Plan(counts, size).slots()
+    slots = Plan.best(counts, size).slots()
 
     # Ranks within a length: buckets of rows by a hash of their content, sums over buckets, then rows within a bucket.
     bucket, first, rank, place = (fresh(x, names) for x in ("bucket_", "first_", "rank_", "place_"))
