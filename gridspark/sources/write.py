@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .. import types as G
 from ..errors import FormatError, GridError, LinkError
 from ..extents import Extents, strides
-from ..functions.codecs import IDS, Filter, Pipeline
+from ..functions.codecs import Filter, Pipeline, lookup3
 from ..operators.array import ArrayFrame, choose_layout
 from ..operators.catalog import parts
 from . import datatypes as D
-from .parse import ATTRIBUTE, COMMENT, DATASPACE, DATATYPE, FILL, GROUP_INFO, LAYOUT, LINK, LINK_INFO, MTIME, PIPELINE, SIGNATURE, SYMBOL_TABLE, UNDEFINED
+from .parse import ATTR_INFO, ATTRIBUTE, COMMENT, DATASPACE, DATATYPE, FILL, GROUP_INFO, LAYOUT, LINK, LINK_INFO, MTIME, PIPELINE, SIGNATURE, SYMBOL_TABLE, UNDEFINED
 from .virtual import StoredMapping, encode as encode_mappings
 
 LEAF_K, INTERNAL_K, CHUNK_K = 4, 16, 32
@@ -423,13 +423,16 @@ class ContainerWriter:
         messages.append((MTIME, struct.pack("<B3xI", 1, int(time.time()))))
         if node.comment:
             messages.append((COMMENT, node.comment.encode() + b"\0"))
-        for a in node.attrs:
-            messages.append((ATTRIBUTE, self._attr_message(*a)))
+        attrs = [(a[0], self._attr_message(*a)) for a in node.attrs]
+        if any(len(m) > MESSAGE_BYTES for _, m in attrs):
+            messages.append((ATTR_INFO, self._dense_attrs(attrs)))
+        else:
+            messages += [(ATTRIBUTE, m) for _, m in attrs]
         body = b""
         for kind, m in messages:
             m += bytes(-len(m) % 8)
             if len(m) > MESSAGE_BYTES:
-                raise FormatError("a message is larger than 64 KB; large attributes are not written")
+                raise FormatError("a message is larger than 64 KB")
             body += struct.pack("<HHB3x", kind, len(m), 0) + m
         node.address = self._put(struct.pack("<BxHII4x", 1, len(messages), node.references, len(body)) + body)
         return node.address
@@ -441,6 +444,25 @@ class ContainerWriter:
         out = struct.pack("<BxHHH", 1, *map(len, fields))
         return out + b"".join(f + bytes(-len(f) % 8) for f in fields) + raw
 
+    def _dense_attrs(self, attrs: list[tuple[str, bytes]]) -> bytes:
+        """Attributes outside the header: each is an object of a heap on its own, found by a tree of heap numbers and named by a tree of name hashes."""
+        objects = [struct.pack("<QQQ", self._put(m), len(m), k) for k, (_, m) in enumerate(attrs, 1)]
+        names = sorted((lookup3(n.encode()), k) for k, (n, _) in enumerate(attrs, 1))
+        of_name = [struct.pack("<B", 0x10) + k.to_bytes(7, "little") + struct.pack("<BII", 0, k - 1, h) for h, k in names]
+        head = b"FRHP" + struct.pack("<BHHBI", 0, 8, 0, 0, 4096) + struct.pack("<QQ", len(attrs) + 1, self._tree2(1, objects))
+        head += struct.pack("<QQ", 0, UNDEFINED) + struct.pack("<8Q", 0, 0, 0, 0, sum(len(m) for _, m in attrs), len(attrs), 0, 0)
+        head += struct.pack("<HQQHHQH", 4, 512, 65536, 40, 1, UNDEFINED, 0)
+        heap = self._put(head + struct.pack("<I", lookup3(head)))
+        return struct.pack("<BBQQ", 0, 0, heap, self._tree2(8, of_name))
+
+    def _tree2(self, kind: int, records: list[bytes]) -> int:
+        """A version 2 tree of one leaf."""
+        size = max(512, 1 << (10 + len(records) * len(records[0]) - 1).bit_length())
+        leaf = b"BTLF" + struct.pack("<BB", 0, kind) + b"".join(records)
+        at = self._put((leaf + struct.pack("<I", lookup3(leaf))).ljust(size, b"\0"))
+        head = b"BTHD" + struct.pack("<BBIHHBBQHQ", 0, kind, size, len(records[0]), 0, 100, 40, at, len(records), len(records))
+        return self._put(head + struct.pack("<I", lookup3(head)))
+
     def _group(self, node: _Node, above: set[int]) -> tuple[list, tuple[int, int]]:
         links = {n: (("hard", self._write(x[1], above)) if x[0] == "hard" else x) for n, x in node.links.items()}
         if any(x[0] == "external" for x in links.values()):

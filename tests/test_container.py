@@ -206,3 +206,17 @@ def test_big_endian_and_newer_headers(tmp_path):
     open(p, "wb").write(bytes(out))
     for d in ("/a", "/b"):
         assert read_values(p, d).tolist() == [[1, -2], [300000, 4]]
+
+
+def test_large_attributes(tmp_path):
+    p = str(tmp_path / "attr.h5")
+    with ContainerWriter(p) as w:
+        w.dataset("/d", 1, type=G.I32)
+        w.attr("/d", "first", 1, type=G.I32)
+        w.attr("/d", "large", np.arange(20_000.0))
+        for i in range(5):
+            w.attr("/d", f"a{i}", i, type=G.I32)
+        w.attr("/d", "text", "é")
+    a = read_attrs(p, "/d")
+    assert list(a) == ["first", "large", "a0", "a1", "a2", "a3", "a4", "text"]
+    assert a["large"].value == np.arange(20_000.0).tolist() and a["a4"].value == 4 and a["text"].value == "é"
