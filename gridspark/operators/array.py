@@ -1,7 +1,6 @@
 """ArrayFrame: an N-dimensional array as a DataFrame of coordinates d0.. and values v.
 
-Rows are cells; a missing cell has the fill value. Selections are predicates, so they prune and push down; what the
-reference model does with copies of whole arrays is joins on coordinates here. Nothing but `collect`-like calls runs a job.
+Rows are cells; a missing cell has the fill value. Selections are predicates, so they prune and push down; writes and resizes are joins on coordinates, never copies of whole arrays. Nothing but `collect`-like calls runs a job.
 """
 
 from __future__ import annotations
