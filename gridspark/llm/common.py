@@ -22,10 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Staged:
-    """Tables written to the shared folder to cut lineage; `drop` removes those no longer read."""
+    """Tables written to the shared folder to cut lineage; `drop` removes those no longer read, the rest goes when the session's JVM ends.
+
+    deleteOnExit takes only paths that exist, so the folder is made first."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        path = self._path(self.root)
+        fs = path.getFileSystem(self._conf())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
 
     def put(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         self.n += 1
@@ -34,11 +46,10 @@ class Staged:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
             for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                path = self._path(f)
+                path.getFileSystem(self._conf()).delete(path, True)
 
 
 def col(name: str) -> Column:
