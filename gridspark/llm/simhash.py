@@ -31,7 +31,7 @@ from .components import connected_components, local_components
 
 SEED = 42
 #: Trie node pairs that a task expands at once, and found links that it holds before it reduces them.
-PAIRS, LINKS = 1 << 18, 1 << 19
+PAIRS, LINKS = 1 << 15, 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -80,13 +80,14 @@ def trie_links(values: np.ndarray, k: int, budget: np.ndarray, roots: np.ndarray
     n = len(values)
     also = also or (lambda a, b: np.ones(len(a), bool))
     roots = np.zeros(n, np.int64) if roots is None else roots
-    cuts = np.flatnonzero(np.diff(roots)) + 1
-    lo, hi = np.r_[0, cuts], np.r_[cuts, n]
+    # Places are 32-bit: a task joins fewer values than that, and most memory is node pairs that wait.
+    cuts = (np.flatnonzero(np.diff(roots)) + 1).astype(np.int32)
+    lo, hi = np.r_[np.int32(0), cuts], np.r_[cuts, np.int32(n)]
     # Neighbours in order that are near link at once. Nodes that lie in one such run need no look.
     near = (np.bitwise_count(values[1:] ^ values[:-1]) <= k) & (roots[1:] == roots[:-1])
     at = np.flatnonzero(near)
     near[at] = also(at, at + 1)
-    run = np.r_[0, np.cumsum(~near)]
+    run = np.r_[0, np.cumsum(~near)].astype(np.int32)
     found_a, found_b, held = [np.flatnonzero(near)], [np.flatnonzero(near) + 1], 0
 
     todo = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
@@ -115,7 +116,7 @@ def trie_links(values: np.ndarray, k: int, budget: np.ndarray, roots: np.ndarray
                 todo.append((d, *(x[i : i + PAIRS] for x in (alo, ahi, blo, bhi, err))))
             continue
         if d not in ones:
-            ones[d] = np.r_[0, np.cumsum((values >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)]
+            ones[d] = np.r_[0, np.cumsum((values >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)].astype(np.int32)
         c, same = ones[d], alo == blo
         amid, bmid = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
         may = err < budget[d + 1]
@@ -238,11 +239,12 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fp = np.fromiter((fingerprint(t, words) for t in texts), np.int64, len(texts))
-            sets = [shingle_hashes(t, words) for t in texts]
-            same = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(same, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["id", "text_hash", "fp", "set_hash", "sketch"])
+            got = []
+            for t in b.column(2):
+                hashes = shingle_hashes(t.as_py(), words)
+                got.append((fingerprint(t.as_py(), words), xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), sketch(hashes)))
+            cols = [pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "text_hash", "fp", "set_hash", "sketch"])
 
     own = staged.put(rows.mapInArrow(run, "id long, text_hash long, fp long, set_hash long, sketch binary"))
     # Equal sets are one class. Classes of one fingerprint are proposed together; the others by the trie.
