@@ -12,7 +12,9 @@ the groups equal through all digits are exactly the repeated windows. The passes
 3. Last digit: of the runs that share the first digit but not the second, each window's own bytes.
 
 Records travel as packed columns in a row for each task and bucket. Repeats within one
-task's batch are settled there, so a string that a third of all texts hold is one record a batch. Digits are compared by
+task's batch are settled there, so a string that a third of all texts hold is one record a batch. A first digit that several
+different runs of one segment share (one passage between ever other words) is hot: its windows go on one by one, dealt by
+their own hash, and only a marker goes to the digit's bucket, where it makes the same digit's runs of other tasks do the same. Digits are compared by
 64-bit hashes on top of one another: a run by 128 bits, a window by 128 bits and its place in its run.
 
 Defined results: null text is empty; a text shorter than depth loses nothing; documents are ordered by id, null first; rows that have
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import Staged, col
 
 #: Bytes read at once by a task, and the most that one segment of a long text has.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
+#: A first digit with more different runs than this in one segment is hot.
+HOT = 2
 NULL_ID = -(1 << 63)
 
 _RNG = np.random.default_rng(20_240_229)
@@ -89,7 +93,7 @@ def runs(data: np.ndarray, edges: np.ndarray, depth: int, gram: int) -> dict[str
     window = h.of(depth)
     if not len(window):
         z = np.zeros(0, np.int64)
-        return {"doc": z, "start": z, "more": z, "place": z, "digit": z.astype(np.uint64), "body": z.astype(np.uint64)}
+        return {"doc": z, "start": z, "more": z, "place": z, "digit": z.astype(np.uint64), "body": z.astype(np.uint64), "window": window}
     grams = h.of(gram)
     order = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
     anchor = (_sliding_least(order, depth - gram + 1) & np.uint64((1 << 24) - 1)).astype(np.int64)
@@ -101,15 +105,39 @@ def runs(data: np.ndarray, edges: np.ndarray, depth: int, gram: int) -> dict[str
     # A run goes on to the next run's start or its document's last window.
     stop = np.minimum(np.r_[start[1:], len(window)] - 1, last[start])
     body = _join(_join(window[start], window[stop], 20), (stop - start).astype(np.uint64) << np.uint64(8) | (anchor[start] - start).astype(np.uint64), 21)
-    return {"doc": doc[start], "start": start, "more": stop - start, "place": anchor[start] - start, "digit": grams[anchor[start]], "body": body}
+    return {"doc": doc[start], "start": start, "more": stop - start, "place": anchor[start] - start, "digit": grams[anchor[start]], "body": body, "window": window}
+
+
+def hot_digits(digit: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """The digits that more than HOT different bodies share."""
+    order = np.lexsort((body, digit))
+    d, b = digit[order], body[order]
+    if not len(d):
+        return d
+    new = np.r_[True, d[1:] != d[:-1]]
+    bodies = np.bincount(np.cumsum(new) - 1, weights=np.r_[True, (d[1:] != d[:-1]) | (b[1:] != b[:-1])])
+    return d[new][bodies > HOT]
+
+
+def expand(start: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of every window of runs."""
+    n = more.astype(np.int64) + 1
+    run = np.repeat(np.arange(len(n)), n)
+    return run, start[run].astype(np.int64) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
 
 
 #: Columns of packed records, and of those that also carry the hashes of their windows.
 RUN = {"digit": "<u8", "body": "<u8", "doc": "<i8", "tag": "<u2", "start": "<u4", "more": "u1", "place": "u1"}
+SINGLE = {"w_digit": "<u8", "w_hash": "<u8", "w_doc": "<i8", "w_tag": "<u2", "w_start": "<u4"}
 MARK = {"m_doc": "<i8", "m_tag": "<u2", "m_start": "<u4", "m_stop": "<u4"}
 WINDOWS = {"digit": "<u8", "doc": "<i8", "tag": "<u2", "start": "<u4", "more": "u1", "windows": "<u8"}
 
 
+#: Place of a marker among runs (real places are smaller), and what the first passes find.
+MARKER = 255
+FOUND = "kind int, doc long, tag int, start long, stop long, digit long, bucket int, " + ", ".join(f"{c} binary" for c in SINGLE)
+
+
 def _ddl(columns: dict) -> str:
     return "bucket int, " + ", ".join(f"{c} binary" for c in columns)
 
@@ -145,6 +173,10 @@ def settle(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order[new], order[later]
 
 
+def settle_single(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return settle({"digit": w["w_digit"], "body": w["w_hash"], "doc": w["w_doc"], "start": w["w_start"]})
+
+
 def _coalesce(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, stop: np.ndarray) -> dict[str, np.ndarray]:
     """Spans, those of a text that touch joined."""
     order = np.lexsort((start, tag, doc))
@@ -173,11 +205,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(key.alias("key"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tag"), text.cast("binary").alias("raw"), *more)
 
 
-def _first_passes(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int = 3_000_000) -> DataFrame:
+def _first_passes(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int = 1_000_000) -> DataFrame:
     """The first two digits: marks (kind 0: spans to remove) and runs that share their first digit with other runs (kind 1)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        singles: list[dict[str, np.ndarray]] = []
+        markers: list[np.ndarray] = []
         data, keys, tags, offsets = [], [], [], []
 
         def take():
@@ -186,20 +220,37 @@ def _first_passes(docs: DataFrame, depth: int, gram: int, buckets: int, hold: in
                 return
             edges = np.r_[0, np.cumsum([len(x) for x in data])]
             r = runs(np.frombuffer(b"".join(data), np.uint8), edges, depth, gram)
-            doc, at = r["doc"], np.array(offsets, np.int64)
-            held.append({"digit": r["digit"], "body": r["body"], "doc": np.array(keys, "<i8")[doc], "tag": np.array(tags, "<u2")[doc], "start": (r["start"] - edges[doc] + at[doc]).astype("<u4"), "more": r["more"].astype("u1"), "place": r["place"].astype("u1")})
+            at, key, tag = np.array(offsets, np.int64), np.array(keys, "<i8"), np.array(tags, "<u2")
+            hot = np.isin(r["digit"], hot_digits(r["digit"], r["body"]))
+            x = {c: r[c][~hot] for c in ("digit", "body", "doc", "start", "more", "place")}
+            doc = x["doc"]
+            held.append({"digit": x["digit"], "body": x["body"], "doc": key[doc], "tag": tag[doc], "start": (x["start"] - edges[doc] + at[doc]).astype("<u4"), "more": x["more"].astype("u1"), "place": x["place"].astype("u1")})
+            if hot.any():
+                markers.append(np.unique(r["digit"][hot]))
+                run, place = expand(r["start"][hot], r["more"][hot])
+                doc = r["doc"][hot][run]
+                singles.append({"w_digit": r["digit"][hot][run], "w_hash": r["window"][place], "w_doc": key[doc], "w_tag": tag[doc], "w_start": (place - edges[doc] + at[doc]).astype("<u4")})
             for x in (data, keys, tags, offsets):
                 x.clear()
 
         def flush():
             x = {c: np.concatenate([h[c] for h in held]) for c in RUN}
-            held.clear()
+            w = {c: np.concatenate([np.zeros(0, t), *(h[c] for h in singles)]) for c, t in SINGLE.items()}
+            marker = np.unique(np.concatenate([np.zeros(0, "<u8"), *markers]))
+            for kept in (held, singles, markers):
+                kept.clear()
             first, later = settle(x)
-            m = _coalesce(x["doc"][later], x["tag"][later], x["start"][later], x["start"][later].astype(np.int64) + x["more"][later] + depth)
-            parts = _split(_bucket(x["digit"][first], buckets), {c: x[c][first] for c in RUN})
-            for k, cols in _split(np.abs(m["m_doc"]) % buckets, m).items():
-                parts.setdefault(k, {}).update(cols)
-            return _batch(parts, [*RUN, *MARK])
+            w_first, w_later = settle_single(w)
+            m = _coalesce(*(np.r_[x[c][later], w[f"w_{c}"][w_later]] for c in ("doc", "tag", "start")), np.r_[x["start"][later].astype(np.int64) + x["more"][later], w["w_start"][w_later].astype(np.int64)] + depth)
+            send = {c: x[c][first] for c in RUN}
+            # A marker is a record of its digit alone.
+            send = {c: np.r_[v, marker if c == "digit" else np.full(len(marker), MARKER if c == "place" else 0, v.dtype)] for c, v in send.items()}
+            parts = _split(_bucket(send["digit"], buckets), send)
+            one = {c: w[c][w_first] for c in SINGLE}
+            for cols in (_split(np.abs(m["m_doc"]) % buckets, m), _split(_bucket(one["w_hash"], buckets), one)):
+                for k, v in cols.items():
+                    parts.setdefault(k, {}).update(v)
+            return _batch(parts, [*RUN, *SINGLE, *MARK])
 
         size = 0
         for b in batches:
@@ -216,7 +267,7 @@ def _first_passes(docs: DataFrame, depth: int, gram: int, buckets: int, hold: in
                     tags.append(tag)
                     offsets.append(at)
                     size += len(part)
-            if sum(len(h["doc"]) for h in held) > hold:
+            if sum(len(h["doc"]) for h in held) + sum(len(h["w_doc"]) for h in singles) > hold:
                 yield flush()
         take()
         if held:
@@ -224,63 +275,84 @@ def _first_passes(docs: DataFrame, depth: int, gram: int, buckets: int, hold: in
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         x, m = _unpack(pdf, RUN), _unpack(pdf, MARK)
+        marker = x["place"] == MARKER
+        hot = np.unique(x["digit"][marker])
+        x = {c: v[~marker] for c, v in x.items()}
         first, later = settle(x)
         d = x["digit"][first]
         new = np.r_[True, d[1:] != d[:-1]] if len(d) else np.zeros(0, bool)
         bodies = np.bincount(np.cumsum(new) - 1) if len(d) else np.zeros(0, int)
-        open_ = first[np.repeat(bodies, bodies) > 1] if len(d) else first
+        is_hot = np.isin(d, hot)
+        open_ = (np.repeat(bodies, bodies) > 1) | is_hot
+        kind, open_ = np.where(is_hot[open_], 2, 1), first[open_]
         stop = x["start"].astype(np.int64) + x["more"] + depth
         marks = pd.DataFrame({"kind": 0, "doc": np.r_[m["m_doc"], x["doc"][later]], "tag": np.r_[m["m_tag"], x["tag"][later]], "start": np.r_[m["m_start"], x["start"][later]], "stop": np.r_[m["m_stop"].astype(np.int64), stop[later]], "digit": 0})
-        rest = pd.DataFrame({"kind": 1, "doc": x["doc"][open_], "tag": x["tag"][open_], "start": x["start"][open_], "stop": stop[open_], "digit": x["digit"][open_].view("<i8")})
-        return pd.concat([marks, rest])
+        rest = pd.DataFrame({"kind": kind, "doc": x["doc"][open_], "tag": x["tag"][open_], "start": x["start"][open_], "stop": stop[open_], "digit": x["digit"][open_].view("<i8")})
+        # Single windows wait here, packed, for those of the last pass. No value is missing: a gap would turn the numbers into floats.
+        none = {"bucket": 0} | {c: b"" for c in SINGLE}
+        wait = {"kind": [3], "doc": [0], "tag": [0], "start": [0], "stop": [0], "digit": [0], "bucket": [int(pdf["bucket"].iloc[0])]} | {c: [b"".join(pdf[c])] for c in SINGLE}
+        out = [marks.assign(**none), rest.assign(**none)] + ([pd.DataFrame(wait)] if any(map(len, pdf["w_doc"])) else [])
+        return pd.concat(out)
 
-    rows = docs.mapInArrow(read, _ddl(RUN | MARK))
-    return rows.groupBy("bucket").applyInPandas(group, "kind int, doc long, tag int, start long, stop long, digit long")
+    rows = docs.mapInArrow(read, _ddl(RUN | SINGLE | MARK))
+    return rows.groupBy("bucket").applyInPandas(group, FOUND)
 
 
-def _last_pass(docs: DataFrame, open_runs: DataFrame, depth: int, buckets: int) -> DataFrame:
+def _last_pass(docs: DataFrame, found: DataFrame, depth: int, buckets: int) -> DataFrame:
     """The last digit: spans of windows that repeat an earlier window, of the runs that are still open."""
-    wanted = open_runs.groupBy(F.col("doc").alias("key"), "tag").agg(F.collect_list(F.struct("start", "stop", "digit")).alias("runs"))
-    joined = docs.join(wanted, ["key", "tag"]).select("key", "tag", "raw", F.col("runs.start").alias("start"), F.col("runs.stop").alias("stop"), F.col("runs.digit").alias("digit"))
+    wanted = found.where("kind in (1, 2)").groupBy(F.col("doc").alias("key"), "tag").agg(F.collect_list(F.struct("start", "stop", "digit", "kind")).alias("runs"))
+    joined = docs.join(wanted, ["key", "tag"]).select("key", "tag", "raw", *[F.col(f"runs.{c}").alias(c) for c in ("start", "stop", "digit", "kind")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, tag, raw, start, stop, digit in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), *(c for c in b.columns[3:])):
+            for key, tag, raw, *lists in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), *b.columns[2:]):
                 raw = raw.as_py()
-                start, stop, digit = (c.values.to_numpy(zero_copy_only=False).astype(np.int64) for c in (start, stop, digit))
+                start, stop, digit, kind = (c.values.to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
                 for at, part in segments(raw, depth):
                     w = Hashes(np.frombuffer(part, np.uint8)).of(depth)
                     # A run may go on in the next segment; each part of it is a run there.
                     lo, hi = np.maximum(start, at) - at, np.minimum(stop - depth + 1, at + len(w)) - at
-                    for i, j, d in zip(lo[ok := lo < hi], hi[ok], digit[ok]):
-                        out.append((d, key, tag, at + i, j - i - 1, w[i:j]))
+                    for i, j, d, k in zip(lo[ok := lo < hi], hi[ok], digit[ok], kind[ok]):
+                        out.append((d, key, tag, at + i, j - i - 1, k, w[i:j]))
             if out:
-                d, key, tag, start, more = (np.array([x[i] for x in out]) for i in range(5))
-                yield _batch_windows(d.astype(np.int64).view("<u8"), key, tag, start, more, [x[5] for x in out], buckets)
+                yield _batch_windows(out, buckets)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _unpack(pdf, WINDOWS)
-        n = x["more"].astype(np.int64) + 1
-        run = np.repeat(np.arange(len(n)), n)
-        start = x["start"][run].astype(np.int64) + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        x, w = _unpack(pdf, WINDOWS), _unpack(pdf, SINGLE)
+        run, start = expand(x["start"], x["more"])
         _, later = settle({"digit": x["digit"][run], "body": x["windows"], "doc": x["doc"][run], "start": start})
-        m = _coalesce(x["doc"][run][later], x["tag"][run][later], start[later], start[later] + depth)
+        _, w_later = settle_single(w)
+        begin = np.r_[start[later], w["w_start"][w_later].astype(np.int64)]
+        m = _coalesce(np.r_[x["doc"][run][later], w["w_doc"][w_later]], np.r_[x["tag"][run][later], w["w_tag"][w_later]], begin, begin + depth)
         return pd.DataFrame({"doc": m["m_doc"], "tag": m["m_tag"], "start": m["m_start"], "stop": m["m_stop"]})
 
-    rows = joined.mapInArrow(read, _ddl(WINDOWS))
-    return rows.groupBy("bucket").applyInPandas(group, "doc long, tag int, start long, stop long")
-
-
-def _batch_windows(digit, key, tag, start, more, windows, buckets) -> pa.RecordBatch:
-    bucket = _bucket(digit, buckets)
-    order = np.argsort(bucket, kind="stable")
-    cols = {"digit": digit.astype("<u8"), "doc": key.astype("<i8"), "tag": tag.astype("<u2"), "start": start.astype("<u4"), "more": more.astype("u1")}
-    parts = _split(bucket, cols)
-    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-    for i, j in zip(cut[:-1], cut[1:]):
-        parts[int(bucket[order[i]])]["windows"] = b"".join(windows[k].tobytes() for k in order[i:j])
-    return _batch(parts, list(WINDOWS))
+    rows = joined.mapInArrow(read, _ddl(WINDOWS | SINGLE))
+    nothing = F.lit(b"")
+    waiting = found.where("kind = 3").select("bucket", *[nothing.alias(c) for c in WINDOWS], *SINGLE)
+    return rows.unionByName(waiting).groupBy("bucket").applyInPandas(group, "doc long, tag int, start long, stop long")
+
+
+def _batch_windows(out: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Open runs with the hashes of their windows, by digit; those of hot digits window by window."""
+    parts: dict[int, dict[str, bytes]] = {}
+    runs_ = [x for x in out if x[5] == 1]
+    if runs_:
+        digit, doc, tag, start, more = (np.array([x[i] for x in runs_], np.int64) for i in range(5))
+        bucket = _bucket(digit.view("<u8"), buckets)
+        parts = _split(bucket, {"digit": digit, "doc": doc, "tag": tag.astype("<u2"), "start": start.astype("<u4"), "more": more.astype("u1")})
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
+        for i, j in zip(cut[:-1], cut[1:]):
+            parts[int(bucket[order[i]])]["windows"] = b"".join(runs_[k][6].tobytes() for k in order[i:j])
+    hot = [x for x in out if x[5] == 2]
+    if hot:
+        digit, doc, tag, start, more = (np.array([x[i] for x in hot], np.int64) for i in range(5))
+        run, place = expand(start, more)
+        w = {"w_digit": digit.view("<u8")[run], "w_hash": np.concatenate([x[6] for x in hot]), "w_doc": doc[run], "w_tag": tag[run].astype("<u2"), "w_start": place.astype("<u4")}
+        for k, v in _split(_bucket(w["w_hash"], buckets), w).items():
+            parts.setdefault(k, {}).update(v)
+    return _batch(parts, [*WINDOWS, *SINGLE])
 
 
 def repeats(docs: DataFrame, staged: Staged, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 100, gram: int = 40, bucket_bytes: int = 24 << 20) -> DataFrame:
@@ -289,7 +361,7 @@ def repeats(docs: DataFrame, staged: Staged, *, id_col: str = "doc_id", text_col
     size = docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     found = staged.put(_first_passes(keyed, depth, gram, buckets))
-    more = staged.put(_last_pass(keyed, found.where("kind = 1"), depth, buckets))
+    more = staged.put(_last_pass(keyed, found, depth, buckets))
     return found.where("kind = 0").select("doc", "tag", "start", "stop").unionByName(more)
 
 
