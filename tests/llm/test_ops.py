@@ -150,7 +150,8 @@ def test_plans_are_near_the_bound():
     for n in (50, 3000):
         lengths = np.minimum(1024, g.lognormal(6, 1.2, n).astype(int) + 1)
         counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
-        plan = packing.Plan(counts, 1024)
+        plan = packing.Plan.best(counts, 1024)
+        assert plan.sequences == min(packing.Plan(counts, 1024, w).sequences for w in range(4))
         used = {}
         for pattern, m in plan.patterns:
             assert sum(pattern) <= 1024
@@ -183,9 +184,10 @@ def brute_repeats(rows, depth=100):
     return out
 
 
-@pytest.mark.parametrize("segment", [1 << 21, 4096])
-def test_suffix_dedup(spark, segment, monkeypatch):
+@pytest.mark.parametrize("segment,hot", [(1 << 21, 2), (4096, 2), (4096, 0), (1 << 21, 1000)])
+def test_suffix_dedup(spark, segment, hot, monkeypatch):
     monkeypatch.setattr(suffix, "SEGMENT", segment)
+    monkeypatch.setattr(suffix, "HOT", hot)
     shared = words(40)
     rows = [(r[0], r[1]) for r in ROWS] + [(100 + k, words(5) + shared + words(5)) for k in range(6)] + [(200, shared * 3), (201, "é" * 300), (202, "a" * 99), (203, "a" * 10_000)]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, kept string, start long").repartition(5)
