@@ -21,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of whole texts that one Arrow batch may hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_batches(texts: DataFrame) -> DataFrame:
+    """The same rows; the session's Arrow batches are made small enough that whole texts, however long, fit a worker's memory many times over."""
+    conf = texts.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not str(now).lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return texts
+
+
 class Staged:
     """Tables written to the shared folder to cut lineage; `drop` removes those no longer read, the rest goes when the session's JVM ends.
 

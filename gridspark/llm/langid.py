@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col
+from .common import Staged, col, in_batches
 from .pieces import CACHE, CACHE_LENGTH, MARK, Vocabulary, vocabulary, words_of
 
 #: Between words when many are searched in one go; no piece holds it.
@@ -155,7 +155,7 @@ def _word_counts(rows: DataFrame) -> DataFrame:
                 yield from out()
         yield from out()
 
-    return rows.mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    return in_batches(rows).mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, path: str, *, use: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 4000, rounds: int = 2) -> Model:
@@ -291,4 +291,4 @@ def identify(docs: DataFrame, model: Model, path: str, *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(conf)], names=["id", "lang_pred", "score"])
 
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double")
+    return in_batches(rows).mapInArrow(run, "id long, lang_pred string, score double")

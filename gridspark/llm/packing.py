@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Staged, col, fresh
+from .common import Staged, col, fresh, in_batches
 
 END_ID = 2
 
@@ -102,7 +102,7 @@ def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
                 yield _pieces(out)
 
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return in_batches(rows).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, in_batches
 
 BITS = 18
 SIZE = 1 << BITS
@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, use: Column | None = None, id_c
             grams = [ngrams(t.as_py(), words).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], names=["h", "y", "grams"])
 
-    got = rows.mapInArrow(run, "h long, y int, grams binary").toArrow()
+    got = in_batches(rows).mapInArrow(run, "h long, y int, grams binary").toArrow()
     order = np.argsort(got["h"].to_numpy(), kind="stable")
     y = got["y"].to_numpy()[order]
     grams = got["grams"].combine_chunks()
@@ -188,4 +188,4 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m), pa.array(model.score(m))], names=["id", "margin", "score"])
 
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, margin double, score double")
+    return in_batches(rows).mapInArrow(run, "id long, margin double, score double")

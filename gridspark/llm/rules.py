@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col, small
+from .common import Staged, col, in_batches, small
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -91,7 +91,7 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sour
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x) for x in got.T)], names=["id", "lang", "source", *COUNTS])
 
     rows = docs.select(col(id_col).cast("long").alias("id"), *[col(c).cast("string").alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    return rows.mapInArrow(run, "id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return in_batches(rows).mapInArrow(run, "id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def vector() -> dict:

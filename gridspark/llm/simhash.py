@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col
+from .common import Staged, col, in_batches
 from .components import connected_components, local_components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return in_batches(rows).mapInArrow(run, "id long, fp long")
 
 
 def budgets(k: int, rotations: int, bits: int = 64) -> np.ndarray:
@@ -226,7 +226,7 @@ def sketch(hashes: np.ndarray) -> bytes:
     return ((least >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes()
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 14, rotations: int = 16, block: int = 1 << 16, together: int = 1024) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 14, rotations: int = 16, block: int = 1 << 15, together: int = 1024) -> DataFrame:
     """(id, text_hash, component_id): documents are linked when the Jaccard similarity of their word-shingle sets reaches `similarity`.
 
     The trie join proposes pairs within k bits whose sketches agree well enough (four standard deviations under the similarity);
@@ -246,7 +246,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             cols = [pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "text_hash", "fp", "set_hash", "sketch"])
 
-    own = staged.put(rows.mapInArrow(run, "id long, text_hash long, fp long, set_hash long, sketch binary"))
+    own = staged.put(in_batches(rows).mapInArrow(run, "id long, text_hash long, fp long, set_hash long, sketch binary"))
     # Equal sets are one class. Classes of one fingerprint are proposed together; the others by the trie.
     classes = staged.put(own.groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by("text_hash", "id").alias("rep_hash"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     distinct = classes.groupBy("fp").agg(F.min("sketch").alias("sketch"), F.count("*").alias("n"))

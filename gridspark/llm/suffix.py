@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col
+from .common import Staged, col, in_batches
 
 #: Bytes read at once by a task, and the most that one segment of a long text has.
 SEGMENT = 1 << 19
@@ -294,7 +294,7 @@ def _first_passes(docs: DataFrame, depth: int, gram: int, buckets: int, hold: in
         out = [marks.assign(**none), rest.assign(**none)] + ([pd.DataFrame(wait)] if any(map(len, pdf["w_doc"])) else [])
         return pd.concat(out)
 
-    rows = docs.mapInArrow(read, _ddl(RUN | SINGLE | MARK))
+    rows = in_batches(docs).mapInArrow(read, _ddl(RUN | SINGLE | MARK))
     return rows.groupBy("bucket").applyInPandas(group, FOUND)
 
 
@@ -327,7 +327,7 @@ def _last_pass(docs: DataFrame, found: DataFrame, depth: int, buckets: int) -> D
         m = _coalesce(np.r_[x["doc"][run][later], w["w_doc"][w_later]], np.r_[x["tag"][run][later], w["w_tag"][w_later]], begin, begin + depth)
         return pd.DataFrame({"doc": m["m_doc"], "tag": m["m_tag"], "start": m["m_start"], "stop": m["m_stop"]})
 
-    rows = joined.mapInArrow(read, _ddl(WINDOWS | SINGLE))
+    rows = in_batches(joined).mapInArrow(read, _ddl(WINDOWS | SINGLE))
     nothing = F.lit(b"")
     waiting = found.where("kind = 3").select("bucket", *[nothing.alias(c) for c in WINDOWS], *SINGLE)
     return rows.unionByName(waiting).groupBy("bucket").applyInPandas(group, "doc long, tag int, start long, stop long")
@@ -395,4 +395,4 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, *, id_col: st
 
     name = "text" if as_text else "kept"
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"row {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, {name} {'string' if as_text else 'binary'}")
+    return in_batches(joined).mapInArrow(cut, f"row {kind}, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, {name} {'string' if as_text else 'binary'}")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col
+from .common import col, in_batches
 from .pieces import CACHE, CACHE_LENGTH, MARK, Vocabulary, vocabulary, words_of
 
 _LOWEST = float("-inf")
@@ -78,4 +78,4 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(chars), pa.array(n)], names=["id", "n_chars", "n_tokens"])
 
     rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_chars long, n_tokens long")
+    return in_batches(rows).mapInArrow(run, "id long, n_chars long, n_tokens long")
