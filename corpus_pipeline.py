@@ -38,15 +38,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id. Near: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies stays, that of the smallest id (null first) and then text hash. Near: five-word shingles, Jaccard similarity 0.8 or more."""
     staged = Staged(spark, "near-stage")
     found = staged.put(simhash.similar_groups(docs))
-    dropped = found.where("id <> component_id").select(F.col("id").alias("k_id"), F.col("text_hash").alias("k_text"))
-    out = _without(docs, dropped, "near-stage")
-    kept = found.where("id = component_id")
-    if kept.count() == kept.select("id").distinct().count():
+    first = (F.col("id") == F.col("component_id")) & (F.col("text_hash") == F.col("component_hash"))
+    out = _without(docs, found.where(~first).select(F.col("id").alias("k_id"), F.col("text_hash").alias("k_text")), "near-stage")
+    kept = found.where(first)
+    if kept.count() == kept.select("id", "text_hash").distinct().count():
         return out
-    return out.dropDuplicates(["doc_id"])  # rows that share the id of their group
+    return out.withColumns(dict(zip(("k_id", "k_text"), _key()))).dropDuplicates(["k_id", "k_text"]).select(*docs.columns)  # rows equal in id and text
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

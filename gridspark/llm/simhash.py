@@ -227,7 +227,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 14, rotations: int = 16, block: int = 1 << 15, together: int = 1024) -> DataFrame:
-    """(id, text_hash, component_id): documents are linked when the Jaccard similarity of their word-shingle sets reaches `similarity`.
+    """(id, text_hash, component_id, component_hash: the least id and text hash of the component): documents are linked when the Jaccard similarity of their word-shingle sets reaches `similarity`.
 
     The trie join proposes pairs within k bits whose sketches agree well enough (four standard deviations under the similarity);
     the pairs of each proposed group are then compared exactly, except those already linked through others.
@@ -248,7 +248,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     own = staged.put(in_batches(rows).mapInArrow(run, "id long, text_hash long, fp long, set_hash long, sketch binary"))
     # Equal sets are one class. Classes of one fingerprint are proposed together; the others by the trie.
-    classes = staged.put(own.groupBy("set_hash").agg(F.min("id").alias("rep"), F.min_by("text_hash", "id").alias("rep_hash"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    classes = staged.put(own.groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("set_hash", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "fp", "sketch"))
     distinct = classes.groupBy("fp").agg(F.min("sketch").alias("sketch"), F.count("*").alias("n"))
     distinct = staged.put(distinct)
     share = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / SKETCH))
@@ -286,9 +286,10 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     exact = connected_components(grouped.applyInPandas(verify, "u long, v long"), staged)
-    member = classes.join(exact.withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "rep", F.coalesce("root", "set_hash").alias("root"))
-    member = member.join(member.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("set_hash", "component_id")
-    return own.join(member, "set_hash").select("id", "text_hash", "component_id")
+    member = classes.join(exact.withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "rep", "rep_hash", F.coalesce("root", "set_hash").alias("root"))
+    least = member.groupBy("root").agg(F.min(F.struct("rep", "rep_hash")).alias("least"))
+    member = member.join(least, "root").select("set_hash", F.col("least.rep").alias("component_id"), F.col("least.rep_hash").alias("component_hash"))
+    return own.join(member, "set_hash").select("id", "text_hash", "component_id", "component_hash")
 
 
 def hex_fingerprint(fp: str = "fp"):

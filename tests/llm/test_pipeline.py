@@ -70,3 +70,13 @@ def test_odd_rows_pass_all_stages(spark):
     for _, f in corpus_pipeline.STAGES:
         empty = f(spark, empty, "")
         assert empty.count() == 0
+
+
+def test_near_stage_keeps_a_row_of_each_class_under_shared_ids(spark):
+    a, b, c, d = (words(40) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d + " more"), (9, a), (8, d)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(got) == 4
+    assert {(None, a), (None, b), (7, c)} < set(got)
+    assert {i for i, t in got if t in (d, d + " more")} == {7}
