@@ -18,6 +18,7 @@ repeated rows share a fingerprint; null ids never are a component's id unless al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -213,48 +214,153 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]), ">u8").astype(np.uint64))
 
 
-SKETCH = 64
-_ODD = np.random.default_rng(5).integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+@lru_cache(1 << 16)
+def size_classes(n: int, similarity: float) -> list[tuple[int, int]]:
+    """The class of sets of n elements and the next one, each with the most elements in which two of its sets, or one and one
+    of the class below, differ. Sets of the similarity are in one class or in neighbouring ones."""
+    number, least = 0, 1
+    while (after := int(least / similarity + 1e-9) + 1) <= n:
+        number, least = number + 1, after
+    out = []
+    for c in (number, number + 1):
+        most = int(least / similarity + 1e-9)
+        out.append((c, int((1 - similarity) / (1 + similarity) * 2 * most + 1e-9)))
+        least = most + 1
+    return out
+
+
+def _salted(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set (sorted distinct hashes) of which any two sets of the similarity share one.
+
+    Sets that differ in at most d elements and fill more than d parts of the hashes' range have an equal part that isn't empty, and the sum
+    of each filled part is a key. A set that fills d parts or fewer also has its least hashes as keys (prefix filter)."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    out, short = [], False
+    for c, d in size_classes(n, similarity):
+        part = (hashes >> np.uint64(32)) * np.uint64(d + d // 5 + 2) >> np.uint64(32)
+        at = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1]
+        out.append(_salted(np.add.reduceat(hashes, at), c + 1))
+        short |= len(at) <= d
+    if short:
+        out.append(_salted(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1], 0))
+    return np.unique(np.concatenate(out))
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Whether each place has an odd number of hashes; two sets differ in at least as many elements as in places."""
+    bits = max(1024, 1 << (2 * len(hashes)).bit_length())
+    odd = np.bincount(((hashes >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_links(size: np.ndarray, places: list[bytes], similarity: float) -> tuple[list, list]:
+    """Links, enough to connect every two sets that may have the similarity by their sizes and parities."""
+    width = min(map(len, places))
+    bits = np.array([np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8)) for p in places])
+    share, rest = (1 - similarity) / (1 + similarity), np.arange(len(size))
+    found_a, found_b = [], []
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            n = size[rest]
+            ok = np.bitwise_count(bits[rest] ^ bits[x]).sum(1, dtype=np.int64) <= share * (n + size[x]) + 1e-6
+            ok &= np.minimum(n, size[x]) >= similarity * np.maximum(n, size[x]) - 1e-6
+            hit, rest = rest[ok], rest[~ok]
+            found_a += [x] * len(hit)
+            found_b += hit.tolist()
+            todo += hit.tolist()
+    return found_a, found_b
+
+
+def key_links(keyed: DataFrame, classes: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
+    """(u, v) links between sets (set_hash, n, places) that share a key (key, set_hash), enough to connect those that may have the similarity."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in order, those whose key another set has too; repeated rows once."""
+        key, name, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for b in batches:
+            key, name = np.r_[key, b.column(0).to_numpy()], np.r_[name, b.column(1).to_numpy()]
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])][: len(key)])
+            key, name = key[new], name[new]
+            if len(key):
+                same = key[1:] == key[:-1]
+                keep = np.r_[kept, same] | np.r_[same, False]
+                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(name[:-1][keep[:-1]])], names=["key", "set_hash"])
+                key, name, kept = key[-1:], name[-1:], keep[-1]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name)], names=["key", "set_hash"])
+
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    both = staged.put(keyed.repartition(max(24, total >> 20), "key").sortWithinPartitions("key", "set_hash").mapInArrow(shared, "key long, set_hash long"))
+    # Keys of the same sets say the same; one of them is looked at.
+    some = both.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("set_hash")).alias("who")).groupBy("m", "who").agg(F.min("key").alias("key"))
+    rows = staged.put(both.join(some.select("key", "m"), "key"))
+    bins = max(1, -(-rows.count() // block))
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    own = F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    pairs = F.filter(pairs, lambda p: (F.col("blocks") == 1) | (p.i != p.j))
+    rows = rows.withColumn("p", F.explode(pairs))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "p.i", "p.j"))
+    rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "key", "set_hash").join(classes.select("set_hash", "n", "places"), "set_hash")
 
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key", kind="stable")
+        key, name, size, places = pdf["key"].to_numpy(), pdf["set_hash"].to_numpy(), pdf["n"].to_numpy(), pdf["places"].tolist()
+        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        u, v, i = [], [], 0
+        for j in ends:
+            a, b = may_links(size[i:j], places[i:j], similarity)
+            u += [x + i for x in a]
+            v += [x + i for x in b]
+            i = j
+        return pd.DataFrame({"u": name[np.array(u, np.int64)], "v": name[np.array(v, np.int64)]}).drop_duplicates()
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One byte of each of 64 minima: two sets agree in a byte about as often as their Jaccard similarity says."""
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        x = hashes[i : i + 4096, None] * _ODD
-        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(0))
-    return ((least >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes()
+    return rows.groupBy("g").applyInPandas(join, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 14, rotations: int = 16, block: int = 1 << 15, together: int = 1024) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = 1 << 12, together: int = 1024) -> DataFrame:
     """(id, text_hash, component_id, component_hash: the least id and text hash of the component): documents are linked when the Jaccard similarity of their word-shingle sets reaches `similarity`.
 
-    The trie join proposes pairs within k bits whose sketches agree well enough (four standard deviations under the similarity);
-    the pairs of each proposed group are then compared exactly, except those already linked through others.
-    k = 14 holds what the similarity 0.8 spreads to in practice; it is the one place where a pair can be missed."""
+    Sets of the similarity share a key, whatever they are, and pass the bounds by size and parity; the pairs of each group so proposed
+    are then compared exactly, except those already linked through others. No pair is missed, up to collisions of hashes of 64 bits."""
     staged = Staged(docs.sparkSession, "similar")
     key = F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(key.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    set_name = lambda hashes: xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for t in b.column(2):
                 hashes = shingle_hashes(t.as_py(), words)
-                got.append((fingerprint(t.as_py(), words), xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63), sketch(hashes)))
+                got.append((set_name(hashes), len(hashes), parity(hashes)))
             cols = [pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "text_hash", "fp", "set_hash", "sketch"])
-
-    own = staged.put(in_batches(rows).mapInArrow(run, "id long, text_hash long, fp long, set_hash long, sketch binary"))
-    # Equal sets are one class. Classes of one fingerprint are proposed together; the others by the trie.
-    classes = staged.put(own.groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("least"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")).select("set_hash", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "fp", "sketch"))
-    distinct = classes.groupBy("fp").agg(F.min("sketch").alias("sketch"), F.count("*").alias("n"))
-    distinct = staged.put(distinct)
-    share = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / SKETCH))
-    links = near_links(distinct, k=k, rotations=rotations, block=block, agree=max(1, int(SKETCH * share)))
-    roots = connected_components(links, staged)
-    proposed = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "text_hash", "set_hash", "n", "places"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), words) for t in b.column(0)]
+            found = [keys(x, similarity) for x in sets]
+            names = np.repeat(np.array([set_name(x) for x in sets], np.int64), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(names)], names=["key", "set_hash"])
+
+    own = staged.put(in_batches(rows).mapInArrow(run, "id long, text_hash long, set_hash long, n long, places binary"))
+    # Equal sets are one class.
+    least = F.min(F.struct("id", "text_hash")).alias("least")
+    classes = staged.put(own.groupBy("set_hash").agg(least, F.first("n").alias("n"), F.first("places").alias("places")).select("set_hash", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "n", "places"))
+    keyed = in_batches(rows.select("text")).mapInArrow(spread, "key long, set_hash long")
+    roots = connected_components(key_links(keyed, classes, staged, similarity, block), staged)
+    proposed = classes.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
     sizes = proposed.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
     proposed = proposed.join(sizes, "root").withColumn("chunks", F.ceil(F.col("size") / together).cast("int"))
     mine = F.pmod(F.xxhash64("rep", "rep_hash"), F.col("chunks")).cast("int")

@@ -264,6 +264,38 @@ def test_similar_groups_match_brute_force(spark):
     assert [got[i] for i in range(n)] == want.tolist()
 
 
+@pytest.mark.parametrize("block", [1 << 12, 30])
+def test_similar_groups_link_every_pair_at_the_threshold(spark, block):
+    texts = []
+    for i in range(300):  # one long changed stretch and repeated phrases: fingerprints far apart, Jaccard just over 0.8
+        n = 60 + i
+        cut = (n - 4) // 9 - 3 - i % 3
+        a = [f"w{i}x{j}" for j in range(n)]
+        b = a[: n - cut] + [f"v{i}x{j}" for j in range(cut)]
+        texts += [" ".join(a), " ".join(b + b[: n // 4])]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    far = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > 14 for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(n and f for n, f in zip(near, far)) > 0
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(df, block=block).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(300)] == near
+
+
+def test_keys_are_shared_by_all_similar_sets():
+    g = np.random.default_rng(6)
+    for _ in range(4000):
+        n = int(g.integers(1, 400))
+        x = np.unique(g.integers(0, 1 << 64, n, dtype=np.uint64))
+        more = int(g.integers(0, n // 4 + 1))
+        less = min(int(0.2 * n + 1e-9 - 0.8 * more + 1e-9), n - 1) if 0.8 * more <= 0.2 * n else 0
+        y = np.unique(np.r_[g.permutation(x)[less:], g.integers(0, 1 << 64, more, dtype=np.uint64)])
+        both = len(np.intersect1d(x, y))
+        if both >= 0.8 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(simhash.keys(x, 0.8), simhash.keys(y, 0.8)))
+            assert simhash.may_links(np.array([len(x), len(y)]), [simhash.parity(x), simhash.parity(y)], 0.8)[0] == [0]
+
+
 # 6
 
 
