@@ -88,6 +88,22 @@ def test_embeddings_recall_with_many_homes(spark):
     assert (got["n_links"].to_numpy() <= want).all() and got["n_links"].sum() >= 0.995 * want.sum()
 
 
+def test_embeddings_miss_no_pair_with_many_homes(spark):
+    g = np.random.default_rng(4)
+    x = embeddings.unit(g.normal(size=(3000, 64)))
+    z = g.normal(size=x.shape)
+    z = embeddings.unit(z - (z * x).sum(1, keepdims=True) * x)
+    near = embeddings.unit(x[:1] + 0.05 * g.normal(size=(1000, 64)))  # a narrow home, for most others out of reach
+    every = np.concatenate([x, 0.9005 * x + np.sqrt(1 - 0.9005**2) * z, near])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(every)], "vec_id long, embedding array<double>")
+    pivots = embeddings.Pivots([r for r in every], len(every), alone=20)
+    assert len(pivots.of[64]) > 30
+    got = embeddings.near_duplicates(df, pivots=pivots, members=500, probers=3000).toPandas().set_index("id").sort_index()
+    near = brute_links(every)
+    assert (got["n_links"].to_numpy() == near.sum(1) - 1).all()
+    assert (got["component_id"].to_numpy() == local_components(len(every), *np.nonzero(near))).all()
+
+
 def test_rabitq_estimate_is_unbiased_and_bounded():
     g = np.random.default_rng(2)
     o, q = embeddings.unit(g.normal(size=(2000, 64))), embeddings.unit(g.normal(size=(1, 64)))
