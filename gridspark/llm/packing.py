@@ -1,18 +1,22 @@
 """Best-fit packing of token pieces by exact-complement hashing.
 
 Only the number of pieces of each length matters for the plan, at most `size` numbers however many
-pieces there are. From the longest length down, an index of single, then pair, then triple sums of the lengths that are
+pieces there are. An index of single, pair and triple sums of the lengths that are
 still available finds what fills a gap exactly, as many times at once as the counts
-allow; what is left is placed by best fit, again by counts. Of the plans that stop after fewer passes the best is taken. A plan is then a short list of patterns
-with multiplicities, and a piece finds its place by its rank among the pieces of its length.
-
-Defined results: a null or empty text is the end token alone; repeated rows are packed as rows of
-their own; an empty table gives an empty table.
+allow: first the gaps of long pieces by long ones, then, once best fit has placed the middling ones, the gaps that are open by
+a reserve of short ones; the residuals go by best fit, again by counts. A plan is then a short list of patterns
+with multiplicities, and a piece finds its place by its rank among the pieces of its length. Rows are numbered once, as they are
+written, and dealt by that number, so no length and no repeated row gathers in one task.
+
+Defined results: a null or empty text is the end token alone, so is a null id's; a very long text is cut into
+pieces of `size`, of which only the first may be shorter; repeated rows and ties of length are packed as rows of
+their own; columns named sequence_id or offset are replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Staged, col, fresh, in_batches
 
 END_ID = 2
+#: Least long piece and first length over the reserve of short ones, as parts of a sequence. Chosen by plans of counts resampled from real lengths.
+LONG, SHORT = (5, 16), (1, 8)
 
 
 class Tokenizer:
@@ -110,99 +116,117 @@ def _pieces(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids"])
 
 
+class Sums:
+    """An index of the sums of one, two and three available lengths: sum to combinations, those of a longer first piece first.
+
+    `left` holds the pieces of each length that are still there; the index says what adds up, `left` whether it can be had."""
+
+    def __init__(self, left: np.ndarray, least: int, most: int):
+        self.left, self.lengths = left, [x for x in range(min(most, len(left) - 1), least - 1, -1) if left[x]]
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        for i, a in enumerate(self.lengths):
+            for b in self.lengths[i:]:
+                if a + b <= most:
+                    self.pairs.setdefault(a + b, []).append((a, b))
+
+    def fills(self, gap: int, pieces: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of up to so many pieces whose sum is the gap; none for no gap."""
+        if not gap:
+            yield ()
+            return
+        if self.left[gap]:
+            yield (gap,)
+        yield from self.pairs.get(gap, ())
+        if pieces > 2:
+            for a in self.lengths:
+                if 3 * a < gap:
+                    break
+                yield from ((a, *p) for p in self.pairs.get(gap - a, ()) if p[0] <= a)
+
+    def take(self, lengths: tuple[int, ...], most: int) -> int:
+        """Uses up the combination as often as the counts allow, up to `most` times."""
+        need = Counter(lengths)
+        n = min([most, *(int(self.left[x]) // k for x, k in need.items())])
+        for x, k in need.items():
+            self.left[x] -= n * k
+        return n
+
+
 class Plan:
     """Patterns (lengths that share a sequence, how many such sequences) for given counts of lengths.
 
-    Exact fillings by one more piece are taken first for all lengths, then by two, then by three; `widest` says how many of these passes run
-    before the best fit."""
+    1. From the longest length down, a long piece takes one long piece or two that fill its gap exactly.
+    2. What is left goes by best fit, from the longest down to the reserve of short pieces.
+    3. The gaps that are open then, the least first, are filled exactly by one, two or three pieces of the reserve.
+    4. The rest of the reserve goes by best fit.
 
-    def __init__(self, counts: dict[int, int], size: int, widest: int = 3):
+    The reserve is what makes exact filling pay: spent early, short pieces are missing where middling ones leave odd gaps.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
         self.size, self.left, self.patterns = size, np.zeros(size + 1, np.int64), []
+        self.open: dict[int, list[tuple]] = {}  # gap to (lengths, how many sequences)
+        self.gaps: list[int] = []
         for length, n in counts.items():
             self.left[length] += n
-        if self.left[size]:
-            self._take((size,))
-        for pieces in range(1, widest + 1):
-            for length in range(size - 1, 0, -1):
-                if self.left[length]:
-                    self._exact(length, pieces)
-        self._best_fit()
-
-    @classmethod
-    def best(cls, counts: dict[int, int], size: int) -> Plan:
-        """The plan of fewest sequences over how many exact passes run; all read the same few counts."""
-        return min((cls(counts, size, widest) for widest in (3, 2, 1, 0)), key=lambda p: p.sequences)
-
-    def _take(self, lengths: tuple[int, ...]) -> bool:
-        """Uses up the pattern as often as the counts allow."""
-        need = {x: lengths.count(x) for x in lengths}
-        n = int(min(self.left[x] // k for x, k in need.items()))
-        if n:
-            self.patterns.append((lengths, n))
-            for x, k in need.items():
-                self.left[x] -= n * k
-        return n > 0
-
-    def _exact(self, length: int, pieces: int) -> None:
-        """Fills the gap beside a length with so many pieces, as often as the counts allow."""
-        gap = self.size - length
-        if pieces == 1:
-            if self.left[gap]:
-                self._take((length, gap))
-        elif pieces == 2:
-            self._pairs((length,), gap)
-        else:
-            for a in range(gap - 2, 0, -1):
-                if not self.left[length]:
-                    return
-                if self.left[a]:
-                    self._pairs((length, a), gap - a)
-
-    def _pairs(self, head: tuple[int, ...], gap: int) -> None:
-        """Pairs of available lengths whose sum is the gap, the larger first."""
-        if gap < 2 or not all(self.left[x] for x in head):
-            return
-        big = np.arange(gap - 1, (gap - 1) // 2, -1)
-        for b in big[(self.left[big] > 0) & (self.left[gap - big] > 0)].tolist():
-            self._take((*head, b, gap - b))
-            if not all(self.left[x] for x in head):
-                return
-
-    def _best_fit(self) -> None:
-        open_: dict[int, list] = {}  # gap to patterns with that gap
-        gaps: list[int] = []
-
-        def put(lengths, n):
-            gap = self.size - sum(lengths)
-            if gap not in open_:
-                insort(gaps, gap)
-                open_[gap] = []
-            open_[gap].append((lengths, n))
-
-        for length in range(self.size, 0, -1):
+        long, short = max(1, size * LONG[0] // LONG[1]), max(1, size * SHORT[0] // SHORT[1])
+        index = Sums(self.left, long, size - long)
+        for length in range(size, long - 1, -1):
+            if self.left[length]:
+                for parts in index.fills(size - length, 2):
+                    if min(parts, default=long) >= long and (n := index.take((length, *parts), size * int(self.left.sum()))):
+                        self.patterns.append(((length, *parts), n))
+        self._best_fit(size, short)
+        index = Sums(self.left, 1, short - 1)
+        for gap in list(self.gaps):
+            self._exact(gap, index)
+        self._best_fit(short - 1, 1)
+        self.patterns += [p for ps in self.open.values() for p in ps]
+
+    def _put(self, lengths: tuple[int, ...], n: int) -> None:
+        gap = self.size - sum(lengths)
+        if gap not in self.open:
+            insort(self.gaps, gap)
+            self.open[gap] = []
+        self.open[gap].append((lengths, n))
+
+    def _pop(self, gap: int) -> tuple[tuple[int, ...], int]:
+        out = self.open[gap].pop()
+        if not self.open[gap]:
+            del self.open[gap]
+            self.gaps.remove(gap)
+        return out
+
+    def _exact(self, gap: int, index: Sums) -> None:
+        """Fills open sequences of a gap from the index, as often as the counts allow."""
+        fills = index.fills(gap, 3) if gap else iter(())
+        parts = next(fills, None)
+        while parts and gap in self.open:
+            lengths, n = self._pop(gap)
+            used = index.take(parts, n)
+            if used:
+                self.patterns.append(((*lengths, *parts), used))
+            if n > used:
+                self._put(lengths, n - used)
+                parts = next(fills, None)
+
+    def _best_fit(self, longest: int, least: int) -> None:
+        for length in range(longest, least - 1, -1):
             n = int(self.left[length])
             while n:
-                i = bisect_left(gaps, length)
-                if i == len(gaps):
+                i = bisect_left(self.gaps, length)
+                if i == len(self.gaps):
                     k = self.size // length  # a new sequence takes as many as fit
-                    if n >= k:
-                        put((length,) * k, n // k)
-                        n %= k
-                    else:
-                        put((length,) * n, 1)
-                        n = 0
+                    self._put((length,) * min(n, k), n // k or 1)
+                    n = n % k if n >= k else 0
                     continue
-                gap = gaps[i]
-                lengths, m = open_[gap].pop()
-                if not open_[gap]:
-                    del open_[gap], gaps[i]
+                lengths, m = self._pop(self.gaps[i])
                 used = min(n, m)
                 if m > used:
-                    put(lengths, m - used)
-                put((*lengths, length), used)
+                    self._put(lengths, m - used)
+                self._put((*lengths, length), used)
                 n -= used
             self.left[length] = 0
-        self.patterns += [p for ps in open_.values() for p in ps]
 
     @property
     def sequences(self) -> int:
@@ -227,20 +251,20 @@ def pack(pieces: DataFrame, *, size: int = 1024, length_col: str = "length", row
     they are replaced."""
     staged = Staged(pieces.sparkSession, "packing")
     names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
-    t = staged.put(pieces.select(*map(col, names)))
+    row, bucket, first, rank, place = (fresh(x, names) for x in ("row_", "bucket_", "first_", "rank_", "place_"))
+    t = staged.put(pieces.select(*map(col, names), F.monotonically_increasing_id().alias(row)))
     length = col(length_col)
     counts = {int(r[0]): int(r[1]) for r in t.groupBy(length).count().collect()}  # at most `size` rows
     if any(x < 1 or x > size for x in counts):
         raise ValueError(f"lengths must be from 1 to {size}")
-    slots = Plan.best(counts, size).slots()
+    slots = Plan(counts, size).slots()
 
-    # Ranks within a length: buckets of rows by a hash of their content, sums over buckets, then rows within a bucket.
-    bucket, first, rank, place = (fresh(x, names) for x in ("bucket_", "first_", "rank_", "place_"))
+    # Ranks within a length: buckets of rows by a hash of their number, sums over buckets, then rows within a bucket.
     n_buckets = max(1, -(-sum(counts.values()) // rows_per_bucket))
-    t = t.withColumn(bucket, F.pmod(F.xxhash64(*map(col, names)), F.lit(n_buckets)))
+    t = t.withColumn(bucket, F.pmod(F.xxhash64(row), F.lit(n_buckets)))
     order = W.partitionBy(length_col).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     sums = t.groupBy(length_col, bucket).agg(F.count("*").alias(first)).withColumn(first, F.coalesce(F.sum(first).over(order), F.lit(0)))
-    within = W.partitionBy(length_col, bucket).orderBy(*map(col, names))
+    within = W.partitionBy(length_col, bucket).orderBy(row)
     ranked = t.withColumn(rank, F.row_number().over(within) - 1).join(sums, [length_col, bucket]).withColumn(rank, F.col(rank) + F.col(first))
 
     # The plan has a few patterns a length, so it fits in a closure whatever the number of pieces.
