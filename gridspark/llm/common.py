@@ -59,6 +59,11 @@ class Staged:
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        """Deletes all its tables; nothing may read them any more."""
+        path = self._path(self.root)
+        path.getFileSystem(self._conf()).delete(path, True)
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             for f in {f.rpartition("/")[0] for f in df.inputFiles()}:

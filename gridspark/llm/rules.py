@@ -242,9 +242,10 @@ def judge(
     min_rows: int = 50,
     quantile: float = 1 - 1e-8,
     h: float = 0.75,
+    staged: Staged | None = None,
 ) -> DataFrame:
     """id, lang, source, the counts, base_failed, distance (null without a verdict) and kept, one row per input row."""
-    staged = Staged(docs.sparkSession, "rules")
+    staged = staged or Staged(docs.sparkSession, "rules")
     rows = text_counts(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = staged.put(rows.withColumn("base_failed", failed).withColumns(vector()))

@@ -6,19 +6,27 @@ The trie is joined once for each of `rotations` rotations of the bits. On a ring
 segments that hold at most k differences together, some start exists from which, for every l,
 the first l segments hold at most l*k/m of them (the ring form of the pigeonhole principle), so
 each rotation may use that tight budget from its first bit on and no pair is lost. Where the
-budget of the first segment is zero, that segment is the key by which nodes go to tasks; large keys
-are cut into blocks and every pair of blocks is joined, so no task holds more than a bound.
+budget of the first segment is zero, that segment is the key by which nodes go to tasks.
 
+A key of more than `block` fingerprints is routed by a deeper prefix: a fingerprint goes to its own prefix and visits those lower ones
+that the budget spent so far allows, so a task stays within a bound while copies grow with the depth, that is with the logarithm of the
+fingerprints. Only where very many fingerprints share even that prefix are pairs of blocks joined.
 Each task returns a spanning forest of the links that it found, never all pairs of a dense group.
 
-Defined results: null text is empty; a text without words has fingerprint zero, linked like any other;
-repeated rows share a fingerprint; null ids never are a component's id unless all are null.
+Documents whose shingle sets reach a Jaccard similarity are grouped the same way (`similar_groups`): the trie join of the sets'
+fingerprints proposes near copies, which are compared exactly; for the pairs beyond its budget there is an exact way, keys that any two sets
+of the similarity share, looked at only between sets that the trie has not linked yet.
+
+Defined results: null text is empty; a text without words has fingerprint zero, linked like any other, and an empty set, equal only to
+empty sets; very long texts are read whole, one at a time; repeated rows and ties share a fingerprint; null ids never are a component's id unless
+all are null; an empty table gives an empty table; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col, in_batches
+from .common import Staged, col, in_batches, small
 from .components import connected_components, local_components
 
 SEED = 42
@@ -74,20 +82,16 @@ def budgets(k: int, rotations: int, bits: int = 64) -> np.ndarray:
     return np.minimum(-(-d * rotations // bits) * k // rotations, k)
 
 
-def trie_links(values: np.ndarray, k: int, budget: np.ndarray, roots: np.ndarray | None = None, also=None) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(values: np.ndarray, k: int, budget: np.ndarray, roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links a-b (positions in the sorted distinct uint64 `values`), enough to connect every two values that differ in at
-    most k bits, keep to the budget and satisfy also(a, b), if given. `roots` numbers the trie that each value is in; values are
-    sorted by it first."""
+    most k bits and keep to the budget. `roots` numbers the trie that each value is in; values are sorted by it first."""
     n = len(values)
-    also = also or (lambda a, b: np.ones(len(a), bool))
     roots = np.zeros(n, np.int64) if roots is None else roots
     # Places are 32-bit: a task joins fewer values than that, and most memory is node pairs that wait.
     cuts = (np.flatnonzero(np.diff(roots)) + 1).astype(np.int32)
     lo, hi = np.r_[np.int32(0), cuts], np.r_[cuts, np.int32(n)]
     # Neighbours in order that are near link at once. Nodes that lie in one such run need no look.
     near = (np.bitwise_count(values[1:] ^ values[:-1]) <= k) & (roots[1:] == roots[:-1])
-    at = np.flatnonzero(near)
-    near[at] = also(at, at + 1)
     run = np.r_[0, np.cumsum(~near)].astype(np.int32)
     found_a, found_b, held = [np.flatnonzero(near)], [np.flatnonzero(near) + 1], 0
 
@@ -101,7 +105,6 @@ def trie_links(values: np.ndarray, k: int, budget: np.ndarray, roots: np.ndarray
         if leaf.any():
             a, b = alo[leaf], blo[leaf]
             good = np.flatnonzero(np.bitwise_count(values[a] ^ values[b]) <= k)
-            good = good[also(a[good], b[good])]
             found_a.append(a[good])
             found_b.append(b[good])
             held += len(good)
@@ -140,63 +143,86 @@ def trie_links(values: np.ndarray, k: int, budget: np.ndarray, roots: np.ndarray
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def near_links(distinct: DataFrame, *, k: int = 4, rotations: int = 8, block: int = 1 << 16, bits: int = 64, agree: int = 0) -> DataFrame:
-    """(u, v) links between distinct fingerprints (column fp) that connect all pairs within k bits; with `agree`, only pairs
-    whose sketches (binary column sketch) agree in so many bytes are links."""
-    sketch = ["sketch"] if agree else []
+def _blocks(rows: DataFrame, n: str, block: int, by: str) -> DataFrame:
+    """Rows cut into blocks of about `block` where the group has more (column n): one row for each pair of blocks (p) that it is in."""
+    rows = rows.withColumn("blocks", F.ceil(F.col(n) / block).cast("int"))
+    own = F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    return rows.withColumn("p", F.explode(F.filter(pairs, lambda p: (F.col("blocks") == 1) | (p.i != p.j))))
+
+
+def _at_most(own):
+    return lambda x: x <= own
+
+
+def near_links(distinct: DataFrame, *, k: int = 4, rotations: int = 8, block: int = 1 << 16, bits: int = 64) -> DataFrame:
+    """(u, v) links between distinct fingerprints (column fp) that connect all pairs within k bits."""
     if bits % rotations or k // rotations:
         raise ValueError("rotations must divide the bits and exceed k, so that the first segment is exact")
     seg = bits // rotations
     budget = budgets(k, rotations, bits)
     turn = lambda r: F.shiftleft("fp", r * seg).bitwiseOR(F.shiftrightunsigned("fp", bits - r * seg)) if r else F.col("fp")
     turned = F.array(*[F.struct(F.lit(r).alias("r"), turn(r).alias("t")) for r in range(rotations)])
-    rows = distinct.select(F.explode(turned).alias("x"), *sketch).select("x.r", "x.t", *sketch)
-    rows = rows.withColumn("key", (F.col("r") * (1 << seg) + F.shiftrightunsigned("t", bits - seg)).cast("int"))
-    # At most rotations * 2^seg keys, so their counts may be broadcast.
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    rows = rows.join(F.broadcast(counts), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    pairs = F.filter(pairs, lambda p: p.i != p.j)
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)
-    # Small keys share a task: about `block` rows each.
-    bins = max(1, -(-rotations * distinct.count() // block))
-    rows = rows.withColumn("p", F.explode(pairs))
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "p.i", "p.j"))
-    rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "r", "key", "t", *sketch)
+    rows = distinct.select(F.explode(turned).alias("x")).select("x.r", "x.t")
+    prefix = lambda depth: F.shiftrightunsigned("t", bits - depth)
+    first = (F.col("r") * F.lit(1 << seg) + prefix(seg)).alias("first")
+    sizes = rows.groupBy(first).agg(F.count("*").alias("n"))  # at most rotations * 2^seg rows
+    found = {x["first"]: x["n"] for x in sizes.where(F.col("n") > block).collect()}
+    level = F.lit(0)
+    depths = [d for d in (seg, 2 * seg, 3 * seg) if d <= min(48, bits)]
+    if found and len(depths) > 1:
+        n = F.coalesce(F.col("n"), F.lit(0))
+        rows = rows.withColumn("first", first).join(F.broadcast(sizes.where(F.col("n") > block)), "first", "left")
+        level = F.when(n <= block, 0).when((n <= block << seg) | F.lit(len(depths) < 3), 1).otherwise(2)
+    visits = F.array(prefix(seg))
+    for i, depth in enumerate(depths[1:], 1):
+        low = depth - seg
+        masks = [sum(1 << x for x in c) for m in range(1, int(budget[depth]) + 1) for c in combinations(range(low), m)]
+        # Of two prefixes that differ, the higher one's fingerprint visits the lower one.
+        own = prefix(depth)
+        visited = F.array(own, *[own.bitwiseXOR(F.lit(m).cast("long")) for m in masks])
+        visits = F.when(F.col("level") == i, F.filter(visited, _at_most(own))).otherwise(visits)
+    rows = rows.withColumn("level", level).select("t", "r", "level", F.explode(visits).alias("at"))
+    rows = rows.select("t", (F.shiftleft((F.col("r") * 4 + F.col("level")).cast("long"), 48) + F.col("at")).alias("key"))
+    total = rotations * distinct.count()
+    if found:
+        crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 4 * block)
+        rows = _blocks(rows.join(crowded, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), "n", block, "t")
+        group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // block))))).otherwise(F.xxhash64("key", "p.i", "p.j"))
+        rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "key", "t")
+    else:  # small keys share a task: about `block` rows each
+        rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // block)))).alias("g"), "key", "t")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, key, r = pdf["t"].to_numpy(np.int64).view(np.uint64), pdf["key"].to_numpy(np.int64), pdf["r"].to_numpy(np.uint64)
+        t, key = pdf["t"].to_numpy(np.int64).view(np.uint64), pdf["key"].to_numpy(np.int64)
         order = np.lexsort((t, key))
-        t, key, r = t[order], key[order], r[order]
-        also = None
-        if agree:
-            bytes_ = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(t), -1)[order]
-
-            def also(a, b):
-                return np.concatenate([np.zeros(0, bool)] + [(bytes_[a[i : i + 65536]] == bytes_[b[i : i + 65536]]).sum(1) >= agree for i in range(0, len(a), 65536)])
-
-        a, b = trie_links(t, k, budget, key, also)
+        t, key = t[order], key[order]
+        a, b = trie_links(t, k, budget, key)
         label = local_components(len(t), a, b)
         child = np.flatnonzero(label != np.arange(len(t)))
-        back = r * np.uint64(seg)
+        back = (key >> 50).astype(np.uint64) * np.uint64(seg)
         fp = np.where(back > 0, (t >> back) | (t << ((np.uint64(bits) - back) % np.uint64(bits))), t).view(np.int64)
         return pd.DataFrame({"u": fp[child], "v": fp[label[child]]})
 
     return rows.groupBy("g").applyInPandas(join, "u long, v long")
 
 
+def _least_of(nodes: DataFrame, roots: DataFrame, name: str, least: str, staged: Staged) -> DataFrame:
+    """(name, found): for the nodes that are linked with others, the least value of the column `least` in their component."""
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", name)
+    linked = staged.put(nodes.select(name, least).join(linked, name))
+    best = staged.put(linked.groupBy("root").agg(F.min(least).alias("found")))
+    return linked.join(small(best, best.count()), "root").select(name, "found")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, k: int = 4, rotations: int = 8, block: int = 1 << 16) -> DataFrame:
     """(id, fp, component_id): the smallest id reachable over fingerprints that differ in at most k bits."""
     staged = Staged(docs.sparkSession, "simhash")
     own = staged.put(fingerprints(docs, id_col=id_col, text_col=text_col, words=words))
     distinct = staged.put(own.groupBy("fp").agg(F.min("id").alias("least")))
     links = near_links(distinct, k=k, rotations=rotations, block=block)
-    roots = connected_components(links, staged)
-    member = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Fingerprints that link with none are their own component; only the others are gathered.
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = member.join(least, "root").select("fp", "component_id")
+    found = _least_of(distinct, connected_components(links, staged), "fp", "least", staged)
+    classes = distinct.join(found, "fp", "left").select("fp", F.coalesce("found", "least").alias("component_id"))
     return own.join(classes, "fp").select("id", "fp", "component_id")
 
 
@@ -280,59 +306,103 @@ def may_links(size: np.ndarray, places: list[bytes], similarity: float) -> tuple
     return found_a, found_b
 
 
-def key_links(keyed: DataFrame, classes: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
-    """(u, v) links between sets (set_hash, n, places) that share a key (key, set_hash), enough to connect those that may have the similarity."""
+def slack(hashes: np.ndarray, similarity: float) -> int:
+    """How many of a set's keys every other set of the similarity shares at least (in whichever of its size classes they meet)."""
+    out = len(hashes)
+    for _, d in size_classes(len(hashes), similarity) if len(hashes) else ():
+        part = (hashes >> np.uint64(32)) * np.uint64(d + d // 5 + 2) >> np.uint64(32)
+        out = min(out, 1 + int((part[1:] != part[:-1]).sum()) - d)
+    return max(out, 1)
+
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows in order, those whose key another set has too; repeated rows once."""
-        key, name, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-        for b in batches:
-            key, name = np.r_[key, b.column(0).to_numpy()], np.r_[name, b.column(1).to_numpy()]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])][: len(key)])
-            key, name = key[new], name[new]
-            if len(key):
-                same = key[1:] == key[:-1]
-                keep = np.r_[kept, same] | np.r_[same, False]
-                yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(name[:-1][keep[:-1]])], names=["key", "set_hash"])
-                key, name, kept = key[-1:], name[-1:], keep[-1]
-        if kept:
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name)], names=["key", "set_hash"])
-
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    both = staged.put(keyed.repartition(max(24, total >> 20), "key").sortWithinPartitions("key", "set_hash").mapInArrow(shared, "key long, set_hash long"))
+def majority(hashes: np.ndarray) -> int:
+    """Fingerprint of a set of hashes: the bits set in over half of them, as a signed 64-bit number."""
+    raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(raw), 8192):
+        counts += np.unpackbits(raw[i : i + 8192], axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(raw)).view(">i8")[0])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (key, set_hash) in order, those whose key another set has too; repeated rows once."""
+    key, name, kept = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for b in batches:
+        key, name = np.r_[key, b.column(0).to_numpy()], np.r_[name, b.column(1).to_numpy()]
+        new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (name[1:] != name[:-1])][: len(key)])
+        key, name = key[new], name[new]
+        if len(key):
+            same = key[1:] == key[:-1]
+            keep = np.r_[kept, same] | np.r_[same, False]
+            yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(name[:-1][keep[:-1]])], names=["key", "set_hash"])
+            key, name, kept = key[-1:], name[-1:], keep[-1]
+    if kept:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name)], names=["key", "set_hash"])
+
+
+def shared_keys(keyed: DataFrame, sets: DataFrame, staged: Staged, common: int) -> DataFrame:
+    """(key, set_hash) of the keys that sets of different roots share; `sets` has set_hash, root (equal ones are linked already), n and slack.
+
+    A key of over `common` sets (a shingle that very many texts hold) is left out for those of its sets that have fewer such keys than
+    their slack: their partners share a rarer key with them as well."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    both = staged.put(keyed.repartition(max(24, total >> 20), "key").sortWithinPartitions("key", "set_hash").mapInArrow(_shared, "key long, set_hash long"))
+    rows = staged.put(_open_keys(both.join(sets.select("set_hash", "root", "slack"), "set_hash")))
+    staged.drop(both)
+    often = rows.where(F.col("m") > common).groupBy("set_hash").agg(F.count("*").alias("h"))
+    out = staged.put(rows.join(often, "set_hash", "left").where((F.col("m") <= common) | (F.col("h") >= F.col("slack"))).select("key", "set_hash"))
+    staged.drop(rows)
+    return out
+
+
+def _open_keys(rows: DataFrame) -> DataFrame:
+    """The rows (key, set_hash, root) of keys whose sets have different roots, with the number of sets (m) and a hash of who they are."""
+    many = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.bit_xor(F.xxhash64("set_hash")).alias("who"))
+    return rows.join(many.where("r0 <> r1").select("key", "m", "who"), "key")
+
+
+def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: float, block: int, forest: bool) -> DataFrame:
+    """Of sets that share a key and may have the similarity by their sizes and parities: links between sets of different roots, enough to connect
+    all (`forest`: hub, set_hash), or the groups so connected (g, set_hash)."""
+    rows = staged.put(_open_keys(shared.join(sets.select("set_hash", "root"), "set_hash")))
     # Keys of the same sets say the same; one of them is looked at.
-    some = both.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("set_hash")).alias("who")).groupBy("m", "who").agg(F.min("key").alias("key"))
-    rows = staged.put(both.join(some.select("key", "m"), "key"))
+    rows = rows.join(rows.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
     bins = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    own = F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    pairs = F.filter(pairs, lambda p: (F.col("blocks") == 1) | (p.i != p.j))
-    rows = rows.withColumn("p", F.explode(pairs))
+    rows = _blocks(rows, "m", block, "set_hash")
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "p.i", "p.j"))
-    rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "key", "set_hash").join(classes.select("set_hash", "n", "places"), "set_hash")
+    rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "key", "set_hash", "root").join(sets.select("set_hash", "n", "places"), "set_hash")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        key, name, size, places = pdf["key"].to_numpy(), pdf["set_hash"].to_numpy(), pdf["n"].to_numpy(), pdf["places"].tolist()
-        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
-        u, v, i = [], [], 0
-        for j in ends:
-            a, b = may_links(size[i:j], places[i:j], similarity)
-            u += [x + i for x in a]
-            v += [x + i for x in b]
+        pdf = pdf.sort_values(["key", "set_hash"])
+        key, name, root, size, places = pdf["key"].to_numpy(), pdf["set_hash"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), pdf["places"].tolist()
+        first, second, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for j in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
+            a, b = (np.array(x, np.int64) for x in may_links(size[i:j], places[i:j], similarity))
+            if forest:
+                apart = root[a + i] != root[b + i]
+                first.append(name[a[apart] + i])
+                second.append(name[b[apart] + i])
+            else:
+                label = local_components(j - i, a, b)
+                for x in np.unique(label[b]):
+                    at = np.flatnonzero(label == x) + i
+                    if len(set(root[at].tolist())) > 1:
+                        first.append(np.full(len(at), xxhash.xxh3_64_intdigest(name[at].tobytes()) - (1 << 63), np.int64))  # the same group found by several keys has one name
+                        second.append(name[at])
             i = j
-        return pd.DataFrame({"u": name[np.array(u, np.int64)], "v": name[np.array(v, np.int64)]}).drop_duplicates()
+        return pd.DataFrame({"g": np.concatenate(first), "set_hash": np.concatenate(second)}).drop_duplicates()
 
-    return rows.groupBy("g").applyInPandas(join, "u long, v long")
+    return rows.groupBy("g").applyInPandas(join, "g long, set_hash long").distinct()
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = 1 << 12, together: int = 1024) -> DataFrame:
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 10, rotations: int = 16, block: int = 1 << 12, common: int = 1000, together: int = 1 << 20, staged: Staged | None = None) -> DataFrame:
     """(id, text_hash, component_id, component_hash: the least id and text hash of the component): documents are linked when the Jaccard similarity of their word-shingle sets reaches `similarity`.
 
-    Sets of the similarity share a key, whatever they are, and pass the bounds by size and parity; the pairs of each group so proposed
-    are then compared exactly, except those already linked through others. No pair is missed, up to collisions of hashes of 64 bits."""
-    staged = Staged(docs.sparkSession, "similar")
+    First the trie join links fingerprints of the sets within k bits, and what it links is compared exactly. Then, between sets that are not linked
+    so: sets of the similarity share a key, whatever they are, and pass the bounds by size and parity; these are compared exactly too.
+    No pair is missed, up to collisions of hashes of 64 bits. A task compares sets of about `together` shingles. Intermediate tables go to
+    `staged`, which may be cleared once the result is written."""
+    staged = staged or Staged(docs.sparkSession, "similar")
     key = F.coalesce(col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(col(text_col).cast("string"), F.lit(""))
     rows = docs.select(key.alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -343,35 +413,36 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             got = []
             for t in b.column(2):
                 hashes = shingle_hashes(t.as_py(), words)
-                got.append((set_name(hashes), len(hashes), parity(hashes)))
-            cols = [pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "text_hash", "set_hash", "n", "places"])
+                got.append((set_name(hashes), len(hashes), parity(hashes), slack(hashes, similarity), majority(hashes)))
+            cols = [pa.array([x[i] for x in got], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["id", "text_hash", "set_hash", "n", "places", "slack", "fp"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies that a task meets again say the same
         for b in batches:
-            sets = [shingle_hashes(t.as_py(), words) for t in b.column(0)]
-            found = [keys(x, similarity) for x in sets]
-            names = np.repeat(np.array([set_name(x) for x in sets], np.int64), list(map(len, found)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)), pa.array(names)], names=["key", "set_hash"])
-
-    own = staged.put(in_batches(rows).mapInArrow(run, "id long, text_hash long, set_hash long, n long, places binary"))
+            found, names = [np.zeros(0, np.uint64)], []
+            for t in b.column(0):
+                hashes = shingle_hashes(t.as_py(), words)
+                name = set_name(hashes)
+                if name not in seen:
+                    if len(seen) >= 100_000:
+                        seen.clear()
+                    seen.add(name)
+                    found.append(keys(hashes, similarity))
+                    names.append(name)
+            names = np.repeat(np.array(names, np.int64), [len(x) for x in found[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(names)], names=["key", "set_hash"])
+
+    own = staged.put(in_batches(rows).mapInArrow(run, "id long, text_hash long, set_hash long, n long, places binary, slack long, fp long"))
     # Equal sets are one class.
-    least = F.min(F.struct("id", "text_hash")).alias("least")
-    classes = staged.put(own.groupBy("set_hash").agg(least, F.first("n").alias("n"), F.first("places").alias("places")).select("set_hash", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "n", "places"))
-    keyed = in_batches(rows.select("text")).mapInArrow(spread, "key long, set_hash long")
-    roots = connected_components(key_links(keyed, classes, staged, similarity, block), staged)
-    proposed = classes.join(roots.withColumnRenamed("node", "set_hash"), "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
-    sizes = proposed.groupBy("root").agg(F.count("*").alias("size")).where("size > 1")
-    proposed = proposed.join(sizes, "root").withColumn("chunks", F.ceil(F.col("size") / together).cast("int"))
-    mine = F.pmod(F.xxhash64("rep", "rep_hash"), F.col("chunks")).cast("int")
-    pairs = F.filter(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j"))), lambda p: (F.col("chunks") == 1) | (p.i != p.j))
-    proposed = proposed.select("root", "rep", "rep_hash", "set_hash", F.explode(pairs).alias("p"))
-    texts = rows.withColumnsRenamed({"id": "rep", "text_hash": "rep_hash"})
-    grouped = texts.join(proposed, ["rep", "rep_hash"]).select("root", "p", "set_hash", "text").groupBy("root", "p")
+    firsts = [F.first(c).alias(c) for c in ("n", "places", "slack", "fp")]
+    classes = staged.put(own.groupBy("set_hash").agg(F.min(F.struct("id", "text_hash")).alias("rep"), *firsts))
+
+    texts = rows.select(F.struct("id", "text_hash").alias("rep"), "text")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("set_hash").sort_values("set_hash")
-        name = pdf["set_hash"].to_numpy()
+        name, root = pdf["set_hash"].to_numpy(), pdf["root"].tolist()
         sets = [shingle_hashes(t, words) for t in pdf["text"]]
         clusters: list[list[int]] = []
         out = []
@@ -380,22 +451,54 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for c in clusters:
                 for j in c:
                     lo, hi = sorted((len(s), len(sets[j])))
-                    if lo < similarity * hi:
-                        continue
-                    both = len(np.intersect1d(s, sets[j], assume_unique=True))
-                    if both >= similarity * (lo + hi - both):
-                        hit.append(c)
-                        out.append((name[i], name[j]))
-                        break
+                    if root[i] != root[j]:
+                        if lo < similarity * hi:
+                            continue
+                        both = len(np.intersect1d(s, sets[j], assume_unique=True))
+                        if both < similarity * (lo + hi - both):
+                            continue
+                    hit.append(c)
+                    out.append((name[i], name[j]))
+                    break
             rest = [c for c in clusters if not any(c is h for h in hit)]
             clusters = [*rest, [x for h in hit for x in h] + [i]]
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    exact = connected_components(grouped.applyInPandas(verify, "u long, v long"), staged)
-    member = classes.join(exact.withColumnRenamed("node", "set_hash"), "set_hash", "left").select("set_hash", "rep", "rep_hash", F.coalesce("root", "set_hash").alias("root"))
-    least = member.groupBy("root").agg(F.min(F.struct("rep", "rep_hash")).alias("least"))
-    member = member.join(least, "root").select("set_hash", F.col("least.rep").alias("component_id"), F.col("least.rep_hash").alias("component_hash"))
-    return own.join(member, "set_hash").select("id", "text_hash", "component_id", "component_hash")
+    def exact(groups: DataFrame, sets: DataFrame) -> DataFrame:
+        """(u, v) links of the similarity between the sets of each group (g, set_hash)."""
+        there = staged.put(groups.join(sets.select("set_hash", "root", "rep"), "set_hash"))
+        # Rows equal in id and text are one text; all three steps deal by rep, so texts are shuffled once.
+        once = texts.join(there.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
+        return staged.put(once.join(there, "rep").select("g", "set_hash", "root", "text").groupBy("g").applyInPandas(verify, "u long, v long"))
+
+    def around(spokes: DataFrame) -> DataFrame:
+        """Links (hub, set_hash) as groups of a hub and some of those linked to it, about `together` shingles in all."""
+        spokes = staged.put(spokes.join(classes.select("set_hash", "n"), "set_hash"))
+        salts = spokes.groupBy("hub").agg(F.ceil(F.sum("n") / together).cast("int").alias("salts"))
+        spokes = spokes.join(salts, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("set_hash"), F.col("salts"))).alias("g"), "hub", "set_hash")
+        return spokes.select("g", F.col("hub").alias("set_hash")).distinct().unionByName(spokes.select("g", "set_hash"))
+
+    def rooted(links: DataFrame) -> DataFrame:
+        roots = connected_components(links, staged).withColumnRenamed("node", "set_hash")
+        return staged.put(classes.drop("fp").join(roots, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash")))
+
+    # The trie's links; sets of one fingerprint are linked to its least.
+    hubs = staged.put(classes.where("n > 0").groupBy("fp").agg(F.min("set_hash").alias("hub")))
+    near = near_links(hubs.select("fp"), k=k, rotations=rotations)
+    near = near.join(hubs.select(F.col("fp").alias("u"), F.col("hub").alias("set_hash")), "u").join(hubs.select(F.col("fp").alias("v"), "hub"), "v")
+    same = classes.where("n > 0").select("fp", "set_hash").join(hubs, "fp").where("set_hash <> hub")
+    links = exact(around(same.select("hub", "set_hash").unionByName(near.select("hub", "set_hash"))), classes.withColumn("root", F.col("set_hash")))
+    # The keys' links: most by a forest of what may be similar, then what it left open, in whole groups.
+    sets = rooted(links)
+    keyed = in_batches(rows.select("text")).mapInArrow(spread, "key long, set_hash long")
+    shared = shared_keys(keyed, sets, staged, common)
+    spokes = key_groups(shared, sets, staged, similarity, block, True).withColumnRenamed("g", "hub")
+    links = links.unionByName(exact(around(spokes), sets))
+    sets = rooted(links)
+    links = links.unionByName(exact(key_groups(shared, sets, staged, similarity, block, False), sets))
+    found = _least_of(classes, connected_components(links, staged), "set_hash", "rep", staged)
+    member = classes.select("set_hash", "rep").join(found, "set_hash", "left").select("set_hash", F.coalesce("found", "rep").alias("least"))
+    return own.join(member, "set_hash").select("id", "text_hash", F.col("least.id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -437,18 +437,21 @@ def repeats(docs: DataFrame, staged: Staged, *, id_col: str = "doc_id", text_col
     size = docs.agg(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     packed = staged.put(_prefilter(keyed, depth, gram, buckets))
+    settled = staged.put(_settled(packed))
     found = staged.put(_compare(packed.where(F.col("bucket") != SETTLED).select("bucket", *RUN), staged, depth, buckets, hot_rows))
+    staged.drop(packed)
     more = staged.put(_sorted(keyed, found, depth, buckets))
-    return _settled(packed).unionByName(found.where("kind = 0").select("doc", "tag", "start", "stop")).unionByName(more)
+    return settled.unionByName(found.where("kind = 0").select("doc", "tag", "start", "stop")).unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 100, gram: int = 40, as_text: bool = False, hot_rows: int = 1 << 15) -> DataFrame:
     """One row per input row: `row` (a struct of the `keep` columns, by default all), n_bytes, spans (maximal removed
     runs of bytes, in order) and kept (the other bytes) or, with as_text, text (without characters that lost a byte)."""
     keep = list(docs.columns if keep is None else keep)
-    staged = Staged(docs.sparkSession, "suffix")
-    spans = repeats(docs, staged, id_col=id_col, text_col=text_col, depth=depth, gram=gram, hot_rows=hot_rows)
-    spans = spans.groupBy(F.col("doc").alias("key"), "tag").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    staged, passes = Staged(docs.sparkSession, "suffix"), Staged(docs.sparkSession, "suffix-passes")
+    spans = repeats(docs, passes, id_col=id_col, text_col=text_col, depth=depth, gram=gram, hot_rows=hot_rows)
+    spans = staged.put(spans.groupBy(F.col("doc").alias("key"), "tag").agg(F.collect_set(F.struct("start", "stop")).alias("found")))
+    passes.clear()
     # The text travels once: within the row if it is kept there.
     inside = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
     text = F.lit(None) if inside else col(text_col)

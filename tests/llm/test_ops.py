@@ -330,7 +330,7 @@ def test_fingerprints():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == plain(t)
 
 
-@pytest.mark.parametrize("k,rotations,block", [(4, 8, 1 << 16), (4, 8, 40), (3, 4, 1 << 16), (10, 16, 1 << 16)])
+@pytest.mark.parametrize("k,rotations,block", [(4, 8, 1 << 16), (4, 8, 1), (3, 4, 1 << 16), (10, 16, 1 << 16), (10, 16, 2), (7, 8, 2)])
 def test_trie_join_loses_no_link(spark, k, rotations, block):
     g = np.random.default_rng(k)
     base = g.integers(0, 1 << 63, 150, dtype=np.uint64) * np.uint64(2)
@@ -371,12 +371,12 @@ def test_similar_groups_match_brute_force(spark):
     n = len(sets)
     near = np.array([[a == b or (len(a & b) >= 0.8 * len(a | b) and bool(a | b)) for b in sets] for a in sets])
     want = local_components(n, *np.nonzero(near))
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(df, together=8).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(df, together=300, common=3).collect()}
     assert [got[i] for i in range(n)] == want.tolist()
 
 
-@pytest.mark.parametrize("block", [1 << 12, 30])
-def test_similar_groups_link_every_pair_at_the_threshold(spark, block):
+@pytest.mark.parametrize("block,common", [(1 << 12, 1000), (30, 1)])
+def test_similar_groups_link_every_pair_at_the_threshold(spark, block, common):
     texts = []
     for i in range(300):  # one long changed stretch and repeated phrases: fingerprints far apart, Jaccard just over 0.8
         n = 60 + i
@@ -389,7 +389,7 @@ def test_similar_groups_link_every_pair_at_the_threshold(spark, block):
     far = [(simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > 14 for a, b in zip(texts[::2], texts[1::2])]
     assert sum(n and f for n, f in zip(near, far)) > 0
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(df, block=block).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.similar_groups(df, block=block, common=common).collect()}
     assert [got[2 * i + 1] == 2 * i for i in range(300)] == near
 
 
