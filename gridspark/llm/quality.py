@@ -5,11 +5,13 @@ capitals, digits and marks, and whether a word repeats the one before). Each ind
 its smoothed share in the two classes, vectors are brought to length one, and a linear hinge-loss
 model is fitted by dual coordinate descent; a logistic curve on rows kept out of that fit turns margins into scores.
 
-The fit reads a bounded sample of labelled rows (`max_rows`, half of each class where there are so many,
-chosen by hash); scoring reads every whole text. Only texts and labels enter the model.
+The fit reads a bounded sample of labelled rows (at most `max_rows`, about half of each class where there are so many,
+chosen by hash of their ids); scoring reads every whole text. Only texts and labels enter the model.
 
 Defined results: null and empty texts have no n-grams and get the score of margin zero; without labels of both classes
-every score is the share of label 1, or 0.5 without any.
+every score is the share of label 1, or 0.5 without any. An id that is labelled several times has its greatest label; documents that share an id
+all enter the fit while they fit within `max_rows`, else none of that id does. Repeated rows and ties have equal scores; a very long text is a bounded
+set of n-grams, whose words and shapes are whole; an empty table gives an empty table; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ class Words(dict):
     """(hash, shape hash) of each word, remembered within a bound."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        shape = word[:64]
+        shape = word
         for pattern, s in _CLASSES:
             shape = pattern.sub(s, shape)
         out = crc32(word), crc32(shape)
@@ -152,17 +154,25 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> Model
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 6000) -> Model:
-    """Fits on at most about `max_rows` labelled rows among those where `use` (of the labels' columns) holds."""
+    """Fits on at most `max_rows` labelled documents among those where `use` (of the labels' columns) holds."""
     known = labels.where(F.coalesce(use, F.lit(False))) if use is not None else labels
-    known = known.select(col(id_col).cast("long").alias("id"), (col(label_col) > 0).cast("int").alias("y"), F.xxhash64(col(id_col), F.lit(6)).alias("h")).where("y is not null and id is not null")
+    known = known.select(col(id_col).cast("long").alias("id"), (col(label_col) > 0).cast("int").alias("y")).where("y is not null and id is not null")
+    known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id", F.lit(6)))
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}  # two rows
     if not sizes:
         return fit([], np.zeros(0), np.zeros(0))
     rates = {k: min(1.0, max_rows / len(sizes) / n) for k, n in sizes.items()}
     rate = F.when(F.col("y") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
     known = known.where((F.col("h").cast("double") + 2.0**63) / 2.0**64 < rate)
-    # The chosen labels are bounded by max_rows, so they may be broadcast.
-    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("h", "y", "text")
+    # About max_rows distinct ids are left, so they may be broadcast, and collected with how many documents each has.
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    taken, held = [], 0
+    for r in sorted(rows.groupBy("id", "y", "h").count().collect(), key=lambda r: r["h"]):
+        if held + r["count"] <= max_rows:
+            held += r["count"]
+            taken.append((r["id"],))
+    taken = docs.sparkSession.createDataFrame(taken, "id long")
+    rows = rows.join(F.broadcast(taken), "id", "left_semi").select("h", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -171,10 +181,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, use: Column | None = None, id_c
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(grams, pa.binary())], names=["h", "y", "grams"])
 
     got = in_batches(rows).mapInArrow(run, "h long, y int, grams binary").toArrow()
-    order = np.argsort(got["h"].to_numpy(), kind="stable")
+    grams = got["grams"].to_pylist()
+    order = sorted(range(len(grams)), key=lambda i: (got["h"][i].as_py(), grams[i]))
     y = got["y"].to_numpy()[order]
-    grams = got["grams"].combine_chunks()
-    sample = [np.frombuffer(grams[int(i)].as_py(), np.int32) for i in order]
+    sample = [np.frombuffer(grams[i], np.int32) for i in order]
     return fit(sample, y, np.array([1 / rates[int(k)] for k in y]))
 
 
