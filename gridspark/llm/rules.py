@@ -5,21 +5,26 @@ language and source a minimum-covariance-determinant estimate of the vectors' ce
 made over all rows, and a text is rejected when its squared Mahalanobis distance exceeds a far quantile of the
 chi-square distribution.
 
-The concentration steps run as aggregations: rows are summed by group and by a fine
+Three starts (centres by medians or modes, scales fixed or by quartiles) go through concentration steps side by side; of each group
+that one stays whose covariance has the least determinant. The steps run as aggregations: rows are summed by group and by a fine
 logarithmic bin of their distance; the bins from the nearest on that together hold
 at least the share `h` are the next subset (ties at its edge belong to it), and their sums give its mean and covariance. So a
 group that holds a third of all rows is a few hundred partial sums, every row counts,
 and reruns choose the same subsets. A last step reweights: all rows within the 97.5 % quantile.
 
-Defined results: null text has no words (it fails the base rule); null lang or source is a
-value of its own; groups under `min_rows` rows pool by language, and a pool that is still smaller has
-no verdict of the method, so its rows are kept unless the base rule fails; scatter has a noise floor per
+The same estimates are made for each language and for all rows. A group's centre and scatter are drawn towards its language's, and these towards the
+whole's, with the weight of `prior` rows: a small group leans on its language, a large one on itself, and there is no size at which this changes.
+
+Defined results: null text has no words (it fails the base rule); null lang or source is a value of its own; rows are judged one by one, so repeated
+rows have equal verdicts and ties too; a very long text takes some hundred bytes a word at most; without any row that passes the base rule the method has no verdict;
+an empty table gives an empty table; other columns are not read, so their names cannot clash. Scatter has a noise floor per
 statistic, so that a statistic that is constant in a group rejects nothing by rounding.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,16 +57,27 @@ def repeat_words(ids: np.ndarray, window: int = WINDOW) -> int:
     if n < 2:
         return 0
     u = ids.astype(np.uint64)
-    h = sum(u[j : j + n] * _MIX[j] for j in range(window))
-    s = np.sort(h)
-    if not (s[1:] == s[:-1]).any():  # equal windows have equal sums, so none repeats
+    h = u[:n] * _MIX[0]
+    for j in range(1, window):
+        h += u[j : j + n] * _MIX[j]
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    same = s[1:] == s[:-1]  # equal windows have equal sums
+    if not same.any():
         return 0
-    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(u, window))
-    _, inverse, count = np.unique(windows.view([("", np.uint64)] * window).ravel(), return_inverse=True, return_counts=True)
+    at = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    at, start = order[at], np.r_[True, s[at[1:]] != s[at[:-1]]]
+    group, lead = np.cumsum(start) - 1, at[start]
+    equal = np.ones(len(at), bool)
+    for j in range(window):
+        equal &= u[at + j] == u[lead[group] + j]
+    if not equal.all():  # different windows of one sum: told apart by themselves
+        own = [u[i : i + window].tobytes() for i in at]
+        times = Counter(own)
+        equal = np.array([times[x] > 1 for x in own])
     edge = np.zeros(len(ids) + 1, np.int64)
-    at = np.flatnonzero(count[inverse] > 1)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + window, -1)
+    np.add.at(edge, at[equal], 1)
+    np.add.at(edge, at[equal] + window, -1)
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
@@ -157,29 +173,58 @@ def _with_floor(cov: np.ndarray) -> np.ndarray:
     return cov + np.diag(np.square(FLOORS))
 
 
-MODEL_DDL = "lang string, source string, mean array<double>, inverse array<double>, n long"
+MODEL_DDL = "lang string, source string, start int, mean array<double>, cov array<double>, inverse array<double>, log_det double, n long"
+GROUP = ["lang", "source", "start"]
+STARTS = 3
 
 
-def _step(h: float, reweight: bool):
+def _model(pdf: pd.DataFrame, start: int, mean: np.ndarray, cov: np.ndarray, n: float) -> pd.DataFrame:
+    whole = _with_floor(cov)
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "source": [pdf["source"].iloc[0]], "start": [start], "mean": [mean], "cov": [cov.ravel()], "inverse": [np.linalg.inv(whole).ravel()], "log_det": [np.linalg.slogdet(whole)[1]], "n": [int(n)]})
+
+
+def concentrate(bins: np.ndarray, n: np.ndarray, sums: np.ndarray, h: float, reweight: bool) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, covariance (made consistent at the normal) and rows of the next subset, from counts and sums by bin of distance."""
     share = 0.975 if reweight else h
     limit = chi2_quantile(share, P)
-    factor = share / chi2_cdf(limit, P + 2)
+    order = np.argsort(bins)
+    bins, n, sums = bins[order], n[order], sums[order]
+    if reweight:  # all rows within the quantile
+        keep = bins <= math.floor(math.log2(limit) * PER_OCTAVE)
+        keep[0] = True
+    else:
+        keep = np.r_[0, np.cumsum(n)[:-1]] < h * n.sum()
+    mean, cov = _moments(n[keep].sum(), sums[keep].sum(0))
+    return mean, cov * share / chi2_cdf(limit, P + 2), n.sum()
 
+
+def _step(h: float, reweight: bool):
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        n = pdf["n"].to_numpy(float)
-        if reweight:  # all rows within the quantile
-            keep = pdf["bin"].to_numpy() <= math.floor(math.log2(limit) * PER_OCTAVE)
-            keep[0] = True
-        else:
-            keep = np.r_[0, np.cumsum(n)[:-1]] < h * n.sum()
-        mean, cov = _moments(n[keep].sum(), pdf.loc[keep, SUMS].to_numpy(float).sum(0))
-        inverse = np.linalg.inv(_with_floor(cov * factor))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "source": [pdf["source"].iloc[0]], "mean": [mean], "inverse": [inverse.ravel()], "n": [int(n.sum())]})
+        mean, cov, n = concentrate(pdf["bin"].to_numpy(), pdf["n"].to_numpy(float), pdf[SUMS].to_numpy(float), h, reweight)
+        return _model(pdf, int(pdf["start"].iloc[0]), mean, cov, n)
 
     return step
 
 
+#: Width of the histogram that starts are read from.
+WIDTH = 1 / 64
+
+
+def starts(bins: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and standard deviations to start from, by histograms of the parts: medians with the floors alone; medians, then modes, with the quartiles' range."""
+    middle, mode, spread = [], [], []
+    for x, n in zip(bins, counts):
+        order = np.argsort(x)
+        x, n = x[order], n[order]
+        total = np.cumsum(n)
+        low, mid, high = (float(x[np.searchsorted(total, total[-1] * q)]) + 0.5 for q in (0.25, 0.5, 0.75))
+        middle.append(mid * WIDTH)
+        mode.append((float(x[n.argmax()]) + 0.5) * WIDTH)
+        spread.append((high - low) * WIDTH / 1.349)
+    none = np.zeros(P)
+    return [(np.array(middle), none), (np.array(middle), np.array(spread)), (np.array(mode), np.array(spread))]
+
+
 def _distance(mean: str = "mean", inverse: str = "inverse"):
     """Squared Mahalanobis distance; the sum is written out, so it stays in generated code."""
     d = [F.col(p) - F.get(mean, F.lit(i)) for i, p in enumerate(PARTS)]
@@ -191,45 +236,75 @@ def _distance(mean: str = "mean", inverse: str = "inverse"):
 
 
 def mcd(rows: DataFrame, staged: Staged, *, h: float = 0.75, c_steps: int = 4, bound: int = 20_000) -> DataFrame:
-    """Centre and inverse scatter of each (lang, source) of rows, which have the parts as columns."""
-    # A start that a quarter of outliers cannot move: the middle of each part, by a histogram of it.
-    width = 1 / 64
+    """MODEL_DDL rows, one for each (lang, source) of rows, which have the parts as columns."""
     hist = rows.select("lang", "source", F.posexplode(F.array(*PARTS)).alias("part", "x"))
-    hist = hist.groupBy("lang", "source", "part", F.floor(F.col("x") / width).alias("bin")).agg(F.count("*").alias("n"))
+    hist = hist.groupBy("lang", "source", "part", F.floor(F.col("x") / WIDTH).alias("bin")).agg(F.count("*").alias("n"))
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = []
-        for part in range(P):
-            x = pdf[pdf["part"] == part].sort_values("bin")
-            n = x["n"].cumsum().to_numpy()
-            mean.append((float(x["bin"].iloc[np.searchsorted(n, n[-1] / 2)]) + 0.5) * width)
-        inverse = np.diag(1 / np.square(FLOORS)).ravel()
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "source": [pdf["source"].iloc[0]], "mean": [mean], "inverse": [inverse], "n": [int(n[-1])]})
+        of = [pdf[pdf["part"] == part] for part in range(P)]
+        found = starts([x["bin"].to_numpy() for x in of], [x["n"].to_numpy() for x in of])
+        return pd.concat([_model(pdf, k, mean, np.diag(np.square(sd)), of[0]["n"].sum()) for k, (mean, sd) in enumerate(found)])
 
     model = staged.put(hist.groupBy("lang", "source").applyInPandas(start, MODEL_DDL))
     groups = model.count()
     for k in range(c_steps + 1):
+        last = k == c_steps
+        if last:  # of each group the start of least determinant
+            best = F.min_by(F.struct(*[c for c in model.columns if c not in ("lang", "source")]), F.struct("log_det", "start"))
+            model = model.groupBy("lang", "source").agg(best.alias("m")).select("lang", "source", "m.*")
         near = apply_model(rows, model, groups, bound)
         log = F.floor(F.log2(F.greatest("distance", F.lit(2.0**LOW))) * PER_OCTAVE)
         binned = near.withColumn("bin", F.least(log, F.lit(HIGH * PER_OCTAVE)))
         sums = [F.sum(p).alias(f"s{i}") for i, p in enumerate(PARTS)] + [F.sum(F.col(PARTS[i]) * F.col(PARTS[j])).alias(f"q{i}_{j}") for i, j in PAIRS]
-        binned = binned.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"), *sums)
-        after = staged.put(binned.groupBy("lang", "source").applyInPandas(_step(h, k == c_steps), MODEL_DDL))
-        staged.drop(model)
-        model = after
+        binned = binned.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
+        before, model = model, staged.put(binned.groupBy(*GROUP).applyInPandas(_step(h, last), MODEL_DDL))
+        if not last:
+            staged.drop(before)
     return model
 
 
 def apply_model(rows: DataFrame, model: DataFrame, groups: int, bound: int = 20_000) -> DataFrame:
-    m = model.select(F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), "mean", "inverse")
+    """Rows with their distance, one for each start that the model has of their group."""
+    m = model.select(F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), "mean", "inverse", *[c for c in ("start",) if c in model.columns])
     on = F.col("lang").eqNullSafe(F.col("m_lang")) & F.col("source").eqNullSafe(F.col("m_source"))
     return rows.join(small(m, groups, bound), on, "left").withColumn("distance", _distance()).drop("m_lang", "m_source", "mean", "inverse")
 
 
-#: Stands for the pooled sources of a language.
+#: Stands for all sources, and for all languages.
 POOL = "\x00pool"
 
 
+def drawn(levels: list[tuple[float, np.ndarray, np.ndarray]], prior: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Mean and scatter of the innermost of (rows, mean, covariance), from the outermost on each drawn towards the one before by `prior` rows."""
+    out = None
+    for n, mean, cov in levels:
+        if not n:
+            continue
+        w = 1.0 if out is None else n / (n + prior)
+        out = (mean, cov) if out is None else (w * mean + (1 - w) * out[0], w * cov + (1 - w) * out[1])
+    return out
+
+
+def shrunk(groups: DataFrame, model: DataFrame, n_models: int, prior: float, bound: int = 20_000) -> DataFrame:
+    """(lang, source, mean, inverse) of every group, drawn towards its language and the whole."""
+    levels = []
+    for name, lang, source in (("g", F.col("lang"), F.col("source")), ("l", F.col("lang"), F.lit(POOL)), ("w", F.lit(POOL), F.lit(POOL))):
+        m = model.select(F.col("lang").alias("m_lang"), F.col("source").alias("m_source"), F.struct("n", "mean", "cov").alias(name))
+        groups = groups.join(small(m, n_models, bound), lang.eqNullSafe(F.col("m_lang")) & source.eqNullSafe(F.col("m_source")), "left").drop("m_lang", "m_source")
+        levels.insert(0, name)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                found = drawn([(m["n"], np.array(m["mean"]), np.array(m["cov"]).reshape(P, P)) for m in (r[x] for x in levels) if m is not None], prior)
+                if found:
+                    out.append((r["lang"], r["source"], found[0], np.linalg.inv(_with_floor(found[1])).ravel()))
+            yield pd.DataFrame(out, columns=["lang", "source", "mean", "inverse"])
+
+    return groups.mapInPandas(run, "lang string, source string, mean array<double>, inverse array<double>")
+
+
 def judge(
     docs: DataFrame,
     *,
@@ -239,7 +314,7 @@ def judge(
     source_col: str = "source",
     min_words: int = 20,
     max_repeat_percent: int = 30,
-    min_rows: int = 50,
+    prior: float = 50,
     quantile: float = 1 - 1e-8,
     h: float = 0.75,
     staged: Staged | None = None,
@@ -249,16 +324,13 @@ def judge(
     rows = text_counts(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = staged.put(rows.withColumn("base_failed", failed).withColumns(vector()))
-    fit = rows.where(~F.col("base_failed"))
-    sizes = staged.put(fit.groupBy("lang", "source").agg(F.count("*").alias("rows")), 1)
-    n = sizes.count()
-    sizes = sizes.select(F.col("lang").alias("z_lang"), F.col("source").alias("z_source"), "rows")
-    on = F.col("lang").eqNullSafe(F.col("z_lang")) & F.col("source").eqNullSafe(F.col("z_source"))
-    pooled = rows.withColumnRenamed("source", "own_source").withColumn("source", F.col("own_source")).join(small(sizes, n), on, "left").drop("z_lang", "z_source")
-    pooled = pooled.withColumn("source", F.when(F.col("rows") >= min_rows, F.col("source")).otherwise(F.lit(POOL)))
-    model = mcd(pooled.where(~F.col("base_failed")), staged, h=h)
-    model = model.where(F.col("n") >= min_rows)
-    judged = apply_model(pooled, model, n)
+    # Every row counts in its group, in its language and in the whole.
+    levels = F.array(*[F.struct(a.alias("lang"), b.alias("source")) for a, b in ((F.col("lang"), F.col("source")), (F.col("lang"), F.lit(POOL)), (F.lit(POOL), F.lit(POOL)))])
+    fit = rows.where(~F.col("base_failed")).select(F.explode(levels).alias("of"), *PARTS).select("of.lang", "of.source", *PARTS)
+    model = mcd(fit, staged, h=h)
+    groups = staged.put(rows.select("lang", "source").distinct(), 1)
+    n_models, n = model.count(), groups.count()
+    model = staged.put(shrunk(groups, model, n_models, prior))
+    judged = apply_model(rows, model, n)
     far = F.coalesce(F.col("distance") > chi2_quantile(quantile, P), F.lit(False))
-    out = judged.withColumn("kept", ~F.col("base_failed") & ~far).withColumn("source", F.col("own_source"))
-    return out.select("id", "lang", "source", *COUNTS, "base_failed", "distance", "kept")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far).select("id", "lang", "source", *COUNTS, "base_failed", "distance", "kept")

@@ -81,7 +81,7 @@ def test_embeddings_recall_with_many_homes(spark):
     pairs = 0.905 * y + np.sqrt(1 - 0.905**2) * z
     every = np.concatenate([y, pairs]).astype(np.float32)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(every)], "vec_id long, embedding array<float>")
-    pivots = embeddings.Pivots([r for r in every[:2000]], 8000, alone=100)
+    pivots = embeddings.Pivots([r for r in every[:2000]], 8000, per_home=100)
     assert len(pivots.of[64]) > 30
     got = embeddings.near_duplicates(df, pivots=pivots, members=500, probers=3000).toPandas().set_index("id").sort_index()
     want = brute_links(every.astype(np.float64)).sum(1) - 1
@@ -96,7 +96,7 @@ def test_embeddings_miss_no_pair_with_many_homes(spark):
     near = embeddings.unit(x[:1] + 0.05 * g.normal(size=(1000, 64)))  # a narrow home, for most others out of reach
     every = np.concatenate([x, 0.9005 * x + np.sqrt(1 - 0.9005**2) * z, near])
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(every)], "vec_id long, embedding array<double>")
-    pivots = embeddings.Pivots([r for r in every], len(every), alone=20)
+    pivots = embeddings.Pivots([r for r in every], len(every), per_home=20)
     assert len(pivots.of[64]) > 30
     got = embeddings.near_duplicates(df, pivots=pivots, members=500, probers=3000).toPandas().set_index("id").sort_index()
     near = brute_links(every)
@@ -104,6 +104,19 @@ def test_embeddings_miss_no_pair_with_many_homes(spark):
     assert (got["component_id"].to_numpy() == local_components(len(every), *np.nonzero(near))).all()
 
 
+def test_embeddings_of_clusters_and_of_one_cone_on_the_default_path(spark):
+    g = np.random.default_rng(9)
+    centres = g.normal(size=(40, 64))
+    x = np.concatenate([centres[g.integers(0, 40, 3000)] + 0.35 * g.normal(size=(3000, 64)), 3 * centres[0] + g.normal(size=(5000, 64)), g.normal(size=(5000, 64))]).astype(np.float32)
+    every = x.astype(np.float64)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    got = embeddings.near_duplicates(df).toPandas().set_index("id").sort_index()
+    near = brute_links(every)
+    assert near.sum() > 200_000
+    assert (got["n_links"].to_numpy() == near.sum(1) - 1).all()
+    assert (got["component_id"].to_numpy() == local_components(len(every), *np.nonzero(near))).all()
+
+
 def test_rabitq_estimate_is_unbiased_and_bounded():
     g = np.random.default_rng(2)
     o, q = embeddings.unit(g.normal(size=(2000, 64))), embeddings.unit(g.normal(size=(1, 64)))
@@ -438,9 +451,118 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(loss(w + g.normal(size=w.shape) * (np.abs(w) > 0) * s) >= best - 1e-6 for s in (1e-3, 1e-2, 0.1) for _ in range(10))
 
 
+def test_ratios_and_scores_equal_a_plain_version():
+    texts = [words(30) for _ in range(20)] + [words(30).upper() for _ in range(20)]
+    y, seen = np.r_[np.ones(20), -np.ones(20)], quality.Words()
+    grams = [quality.ngrams(t, seen) for t in texts]
+    p, q = {}, {}
+    for g, label in zip(grams, y):
+        for x in g.tolist():
+            (p if label > 0 else q)[x] = (p if label > 0 else q).get(x, 0) + 1
+    np_, nq = sum(p.values()) + quality.SIZE, sum(q.values()) + quality.SIZE
+    plain = lambda x: np.log((p.get(x, 0) + 1) / np_) - np.log((q.get(x, 0) + 1) / nq)
+    r = quality.ratios(grams, y)
+    assert all(r[x] == pytest.approx(plain(x)) for g in grams for x in g.tolist())
+    w = quality.descend(grams, y, r, rounds=200)
+    unit_rows = [{x: plain(x) / np.sqrt(sum(plain(z) ** 2 for z in g.tolist())) for x in g.tolist()} for g in grams]
+    model = quality.Model(w * r, r * r, 1.0, 0.0)
+    for g, row in zip(grams, unit_rows):
+        assert model.margin(g) == pytest.approx(sum(w[x] * v for x, v in row.items()))
+    # The optimum of the hinge loss: w is the sum of alpha y x with 0 <= alpha <= c, so no step along w or along any row lowers the loss.
+    loss = lambda v: 0.5 * float(v @ v) + sum(max(0.0, 1 - label * sum(v[x] * z for x, z in row.items())) for label, row in zip(y, unit_rows))
+    best = loss(w)
+    for row in [*unit_rows[::7], {x: w[x] for x in np.flatnonzero(w).tolist()}]:
+        for step in (0.01, -0.01):
+            v = w.copy()
+            for x, z in row.items():
+                v[x] += step * z
+            assert loss(v) >= best - 1e-6
+
+
+def test_quality_sample_is_bounded_whatever_repeats(spark):
+    docs = spark.createDataFrame([(i % 4, words(5) if i % 4 < 2 else words(5).upper()) for i in range(800)] + [(100 + i, words(9)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 4, int(i % 4 < 2)) for i in range(200)] + [(100 + i, i % 2) for i in range(30)], "doc_id long, quality int")
+    seen, own = [], quality.fit
+    quality.fit = lambda d, y, w: seen.append(len(d)) or own(d, y, w)
+    try:
+        quality.learn(docs, labels, max_rows=50)
+        quality.learn(docs, labels, max_rows=500)
+    finally:
+        quality.fit = own
+    assert 0 < seen[0] <= 50 and 200 <= seen[1] <= 500
+
+
+def test_query_splits_rows_by_their_remainder(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = queries.op6_quality_classifier(spark, sf).join(labels, "doc_id", "left").collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert set(rows[0].asDict()) >= {"doc_id", "held_out", "score", "predicted"}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and r["predicted"] == (r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+    told = [(r["score"], r["quality"]) for r in rows if r["held_out"] and r["quality"] is not None]
+    good, bad = [s for s, q in told if q == 1], [s for s, q in told if q == 0]
+    assert good and bad and np.mean([[g > b for b in bad] for g in good]) > 0.95
+
+
 # 7
 
 
+def test_robust_estimates_equal_a_plain_version(spark):
+    g = np.random.default_rng(3)
+    x = np.abs(np.concatenate([g.normal(1, 0.2, (400, 5)), g.normal(3, 0.1, (60, 5)), g.normal(1, 0.2, (9, 5)), np.full((1, 5), 4.0)]))
+    source = ["a"] * 460 + ["b"] * 10
+    df = spark.createDataFrame([("en", s, *map(float, r)) for s, r in zip(source, x)], "lang string, source string, " + ", ".join(f"{p} double" for p in rules.PARTS))
+    got = {r["source"]: r for r in rules.mcd(df, Staged(spark, "test")).collect()}
+
+    def distances(rows, mean, cov):
+        d = rows - mean
+        return np.maximum(np.einsum("ij,jk,ik->i", d, np.linalg.inv(rules._with_floor(cov)), d), 0)
+
+    def plain(rows, h=0.75):
+        hist = [np.unique(np.floor(rows[:, j] / rules.WIDTH), return_counts=True) for j in range(rules.P)]
+        found = []
+        for k, (mean, sd) in enumerate(rules.starts([a for a, _ in hist], [b for _, b in hist])):
+            cov = np.diag(sd**2)
+            for step in range(5):
+                bins = np.minimum(np.floor(np.log2(np.maximum(distances(rows, mean, cov), 2.0**rules.LOW)) * rules.PER_OCTAVE), rules.HIGH * rules.PER_OCTAVE)
+                if step == 4:
+                    found.append((np.linalg.slogdet(rules._with_floor(cov))[1], k, mean, cov, bins))
+                    break
+                at = np.sort(bins)[int(np.ceil(h * len(rows))) - 1]
+                part = rows[bins <= at]
+                mean, cov = part.mean(0), np.cov(part.T, bias=True) * h / rules.chi2_cdf(rules.chi2_quantile(h, rules.P), rules.P + 2)
+        _, k, mean, cov, bins = min(found, key=lambda f: f[:2])
+        limit = rules.chi2_quantile(0.975, rules.P)
+        part = rows[bins <= np.floor(np.log2(limit) * rules.PER_OCTAVE)]
+        return part.mean(0), np.cov(part.T, bias=True) * 0.975 / rules.chi2_cdf(limit, rules.P + 2), [f[0] for f in found]
+
+    for s in "ab":
+        mean, cov, dets = plain(x[np.array(source) == s])
+        assert got[s]["mean"] == pytest.approx(mean, rel=1e-9) and np.array(got[s]["cov"]) == pytest.approx(cov.ravel(), abs=1e-9)
+        d = distances(x, np.array(got[s]["mean"]), np.array(got[s]["cov"]).reshape(5, 5))
+        assert d == pytest.approx(distances(x, mean, cov), rel=1e-6)
+    assert (d[:400] < 60).mean() > 0.9 and (distances(x, *plain(x[:460])[:2])[400:460] > 50).all()
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rows = [(i, words(60 + i % 30), "en", "big") for i in range(300)] + [(1000 + i, words(60 + i), "en", "small") for i in range(6)]
+    rows += [(2000, " ".join(w + "#*#*#*" for w in words(60).split()), "en", "small"), (2001, " ".join(w + "#*#*#*" for w in words(60).split()), "en", "alone"), (2002, words(70), "xx", "alone"), (2003, "too short", "yy", "none")]
+    kept = {r["id"]: r["kept"] for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert [i for i, k in kept.items() if not k] == [2000, 2001, 2003]
+    n = [0.0, 1.0, 10.0, 1e9]
+    at = [rules.drawn([(100, np.zeros(5), np.eye(5)), (k, np.ones(5), 2 * np.eye(5))], 50)[0][0] for k in n]
+    assert at[0] == 0 and at[1] == pytest.approx(1 / 51) and at[2] == pytest.approx(1 / 6) and at[3] == pytest.approx(1)
+
+
+def test_repeat_words_tells_windows_of_one_sum_apart(monkeypatch):
+    g = np.random.default_rng(8)
+    ids = g.integers(0, 3, 400)
+    want = rules.repeat_words(ids)
+    win = [tuple(ids[i : i + 8]) for i in range(393)]
+    assert want == len({j for i, x in enumerate(win) if win.count(x) > 1 for j in range(i, i + 8)})
+    monkeypatch.setattr(rules, "_MIX", np.ones(8, np.uint64))  # many windows of one sum
+    assert rules.repeat_words(ids) == want
+
+
 def test_rule_counts():
     def plain(t):
         t = t or ""
