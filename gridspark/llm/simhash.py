@@ -260,28 +260,45 @@ def _salted(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _parts(hashes: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For sets that differ in at most d elements: where the filled parts of the hashes' range start, which of them are keys, and how many keys
+    every set of the similarity shares at least (0 or less: perhaps none).
+
+    At least as many filled parts as go beyond d are equal. Of these no more are of one element than the set has; so where enough
+    larger parts are left, those of one element, which unlike texts share as well, are no keys."""
+    part = (hashes >> np.uint64(32)) * np.uint64(d + 3 * d // 5 + 2) >> np.uint64(32)
+    at = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1]
+    large = np.diff(np.r_[at, len(hashes)]) > 1
+    sure = int(large.sum()) - d
+    return (at, large, sure) if sure > 0 else (at, np.ones(len(at), bool), len(at) - d)
+
+
 def keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
     """Keys of a set (sorted distinct hashes) of which any two sets of the similarity share one.
 
     Sets that differ in at most d elements and fill more than d parts of the hashes' range have an equal part that isn't empty, and the sum
-    of each filled part is a key. A set that fills d parts or fewer also has its least hashes as keys (prefix filter)."""
+    of a filled part is a key. A set that fills d parts or fewer also has its least hashes as keys (prefix filter)."""
     n = len(hashes)
     if not n:
         return hashes
     out, short = [], False
     for c, d in size_classes(n, similarity):
-        part = (hashes >> np.uint64(32)) * np.uint64(d + d // 5 + 2) >> np.uint64(32)
-        at = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1]
-        out.append(_salted(np.add.reduceat(hashes, at), c + 1))
-        short |= len(at) <= d
+        at, use, sure = _parts(hashes, d)
+        out.append(_salted(np.add.reduceat(hashes, at)[use], c + 1))
+        short |= sure <= 0
     if short:
         out.append(_salted(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1], 0))
     return np.unique(np.concatenate(out))
 
 
+def slack(hashes: np.ndarray, similarity: float) -> int:
+    """How many of a set's keys every other set of the similarity shares at least (in whichever of its size classes they meet)."""
+    return max(1, min((_parts(hashes, d)[2] for _, d in size_classes(len(hashes), similarity)), default=1)) if len(hashes) else 1
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """Whether each place has an odd number of hashes; two sets differ in at least as many elements as in places."""
-    bits = max(1024, 1 << (2 * len(hashes)).bit_length())
+    bits = max(256, 1 << len(hashes).bit_length())
     odd = np.bincount(((hashes >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -306,15 +323,6 @@ def may_links(size: np.ndarray, places: list[bytes], similarity: float) -> tuple
     return found_a, found_b
 
 
-def slack(hashes: np.ndarray, similarity: float) -> int:
-    """How many of a set's keys every other set of the similarity shares at least (in whichever of its size classes they meet)."""
-    out = len(hashes)
-    for _, d in size_classes(len(hashes), similarity) if len(hashes) else ():
-        part = (hashes >> np.uint64(32)) * np.uint64(d + d // 5 + 2) >> np.uint64(32)
-        out = min(out, 1 + int((part[1:] != part[:-1]).sum()) - d)
-    return max(out, 1)
-
-
 def majority(hashes: np.ndarray) -> int:
     """Fingerprint of a set of hashes: the bits set in over half of them, as a signed 64-bit number."""
     raw = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -361,9 +369,9 @@ def _open_keys(rows: DataFrame) -> DataFrame:
     return rows.join(many.where("r0 <> r1").select("key", "m", "who"), "key")
 
 
-def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: float, block: int, forest: bool) -> DataFrame:
-    """Of sets that share a key and may have the similarity by their sizes and parities: links between sets of different roots, enough to connect
-    all (`forest`: hub, set_hash), or the groups so connected (g, set_hash)."""
+def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
+    """(g, set_hash, link): of sets that share a key and may have the similarity by their sizes and parities, links between sets of different
+    roots, enough to connect all (link: g is the other set), and the groups so connected (g names the group)."""
     rows = staged.put(_open_keys(shared.join(sets.select("set_hash", "root"), "set_hash")))
     # Keys of the same sets say the same; one of them is looked at.
     rows = rows.join(rows.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
@@ -375,24 +383,24 @@ def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: f
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "set_hash"])
         key, name, root, size, places = pdf["key"].to_numpy(), pdf["set_hash"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), pdf["places"].tolist()
-        first, second, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        first, second, link, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
         for j in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
             a, b = (np.array(x, np.int64) for x in may_links(size[i:j], places[i:j], similarity))
-            if forest:
-                apart = root[a + i] != root[b + i]
-                first.append(name[a[apart] + i])
-                second.append(name[b[apart] + i])
-            else:
-                label = local_components(j - i, a, b)
-                for x in np.unique(label[b]):
-                    at = np.flatnonzero(label == x) + i
-                    if len(set(root[at].tolist())) > 1:
-                        first.append(np.full(len(at), xxhash.xxh3_64_intdigest(name[at].tobytes()) - (1 << 63), np.int64))  # the same group found by several keys has one name
-                        second.append(name[at])
+            apart = root[a + i] != root[b + i]
+            label = local_components(j - i, a, b)
+            found = [(name[a[apart] + i], name[b[apart] + i], True)]
+            for x in np.unique(label[b[apart]]):
+                at = np.flatnonzero(label == x) + i
+                named = xxhash.xxh3_64_intdigest(name[at].tobytes()) - (1 << 63)  # the same group found by several keys has one name
+                found.append((np.full(len(at), named, np.int64), name[at], False))
+            for x, y, z in found:
+                first.append(x)
+                second.append(y)
+                link.append(np.full(len(x), z))
             i = j
-        return pd.DataFrame({"g": np.concatenate(first), "set_hash": np.concatenate(second)}).drop_duplicates()
+        return pd.DataFrame({"g": np.concatenate(first), "set_hash": np.concatenate(second), "link": np.concatenate(link)}).drop_duplicates()
 
-    return rows.groupBy("g").applyInPandas(join, "g long, set_hash long").distinct()
+    return staged.put(rows.groupBy("g").applyInPandas(join, "g long, set_hash long, link boolean").distinct())
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 10, rotations: int = 16, block: int = 1 << 12, common: int = 1000, together: int = 1 << 20, staged: Staged | None = None) -> DataFrame:
@@ -492,10 +500,12 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sets = rooted(links)
     keyed = in_batches(rows.select("text")).mapInArrow(spread, "key long, set_hash long")
     shared = shared_keys(keyed, sets, staged, common)
-    spokes = key_groups(shared, sets, staged, similarity, block, True).withColumnRenamed("g", "hub")
-    links = links.unionByName(exact(around(spokes), sets))
+    groups = key_groups(shared, sets, staged, similarity, block)
+    links = links.unionByName(exact(around(groups.where("link").select(F.col("g").alias("hub"), "set_hash")), sets))
     sets = rooted(links)
-    links = links.unionByName(exact(key_groups(shared, sets, staged, similarity, block, False), sets))
+    groups = groups.where("not link").select("g", "set_hash")
+    left = groups.join(sets.select("set_hash", "root"), "set_hash").groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    links = links.unionByName(exact(groups.join(left.select("g"), "g", "left_semi"), sets))
     found = _least_of(classes, connected_components(links, staged), "set_hash", "rep", staged)
     member = classes.select("set_hash", "rep").join(found, "set_hash", "left").select("set_hash", F.coalesce("found", "rep").alias("least"))
     return own.join(member, "set_hash").select("id", "text_hash", F.col("least.id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))
