@@ -27,7 +27,8 @@ def parse(c: Cursor) -> tuple[G.Type, np.dtype]:
         if size not in (1, 2, 4, 8):
             raise FormatError(f"integer of {size} bytes")
         signed = kind == FIXED and bool(bits & 8)
-        return (G.Integer if signed else G.Unsigned)(size), np.dtype(f"{order}{'i' if signed else 'u'}{size}")
+        spread = {} if (offset, precision) == (0, 8 * size) else {"precision": precision, "offset": offset}
+        return (G.Integer if signed else G.Unsigned)(size), np.dtype(f"{order}{'i' if signed else 'u'}{size}", metadata=spread)
     if kind == FLOAT:
         c.skip(12)
         if size not in (2, 4, 8):
@@ -101,9 +102,19 @@ def _head(kind: int, version: int, bits: int, size: int) -> bytes:
 _FLOATS = {2: (15, 10, 5, 0, 10, 15), 4: (31, 23, 8, 0, 23, 127), 8: (63, 52, 11, 0, 52, 1023)}
 
 
-def encode(t: G.Type) -> bytes:
+def significant(values: np.ndarray, dtype: np.dtype) -> np.ndarray:
+    """Integers of fewer bits than their bytes have: moved down, and the sign extended."""
+    bits = dtype.metadata or {}
+    if "precision" not in bits:
+        return values
+    up = 8 * dtype.itemsize - bits["precision"]
+    native = values.astype(dtype.newbyteorder("="))
+    return (native << (up - bits["offset"]) >> up).astype(dtype)
+
+
+def encode(t: G.Type, precision: int | None = None) -> bytes:
     if isinstance(t, (G.Integer, G.Unsigned)):
-        return _head(FIXED, 1, 8 if isinstance(t, G.Integer) else 0, t.bytes) + struct.pack("<HH", 0, 8 * t.bytes)
+        return _head(FIXED, 1, 8 if isinstance(t, G.Integer) else 0, t.bytes) + struct.pack("<HH", 0, precision or 8 * t.bytes)
     if isinstance(t, G.Float):
         sign, *rest, bias = _FLOATS[t.bytes]
         return _head(FLOAT, 1, 0x20 | sign << 8, t.bytes) + struct.pack("<HH4BI", 0, 8 * t.bytes, *rest, bias)

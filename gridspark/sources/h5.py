@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import product
 from math import prod
 from typing import Any
 
@@ -29,6 +30,7 @@ from ..operators.catalog import ATTRS, LINKS, OBJECTS, Catalog
 from ..operators.vds import Mapping, compose
 from ..selection import Selection
 from . import datatypes as D
+from .store import expand
 from .parse import UNDEFINED, Attribute, ChunkRef, Container, ExternalLink, Object
 
 #: Stored bytes that a partition reads at most, if it is more than one chunk; cells of one Arrow batch.
@@ -92,10 +94,11 @@ def boxes_of(o: Object, box: Container, bounds: list[tuple[int, int]]) -> Iterat
         return
     if o.layout == "chunked":
         stored = {c.offset: c for c in o.chunks}
-        for at in box._grid(o):
-            if all(a <= hi and a + c > lo for a, c, (lo, hi) in zip(at, o.chunk, bounds)):
-                c = stored.get(at)
-                yield (at, o.chunk, c.address, c.bytes, c.mask) if c else (at, o.chunk, UNDEFINED, 0, 0)
+        # Only the grid within the bounds is walked.
+        axes = [range(max(lo, 0) // c * c, min(hi, d - 1) + 1, c) for d, c, (lo, hi) in zip(dims, o.chunk, bounds)]
+        for at in product(*axes):
+            c = stored.get(at)
+            yield (at, o.chunk, c.address, c.bytes, c.mask) if c else (at, o.chunk, UNDEFINED, 0, 0)
         return
     if not dims:
         yield (), (), o.address_of_data, o.dtype.itemsize, 0
@@ -123,7 +126,7 @@ def elements(p: Plan, box: Container, at: tuple, shape: tuple, address: int, sto
             raw = p.pipeline.decode(raw, d.itemsize, mask)
     if len(raw) < n * d.itemsize:
         raise FormatError("a chunk is too short")
-    out = np.frombuffer(raw, base, n * (d.itemsize // base.itemsize))
+    out = D.significant(np.frombuffer(raw, base, n * (d.itemsize // base.itemsize)), base)
     return out.reshape((*shape, *d.shape)) if d.subdtype else out.reshape(shape)
 
 
@@ -211,6 +214,53 @@ def to_arrow_type(t: T.DataType) -> pa.DataType:
     return convert(t)
 
 
+class H5FilesReader(DataSourceReader):
+    """The dataset of the same name in many files; a task parses the headers of its own files."""
+
+    def __init__(self, paths: list[tuple[str, int]], dataset: str):
+        self.paths, self.dataset = paths, dataset
+
+    def partitions(self) -> Sequence[InputPartition]:
+        out, held = [[]], 0
+        for p, size in self.paths:
+            if out[-1] and held + size > PARTITION_BYTES:
+                out.append([])
+                held = 0
+            out[-1].append(p)
+            held += size
+        return [Cells(x) for x in out if x] or [Cells([])]
+
+    def read(self, partition: Cells) -> Iterator[pa.RecordBatch]:
+        for path in partition.boxes:
+            one = H5Reader(path, self.dataset)
+            for part in one.partitions():
+                for b in one.read(part):
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * b.num_rows, pa.string()), *b.columns], names=["file", *b.schema.names])
+
+
+class H5FilesSource(DataSource):
+    """Options: path (a glob, or several with commas between), dataset. Rows are cells with the path of their file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "h5files"
+
+    def _paths(self) -> list[tuple[str, int]]:
+        found = [f for g in self.options.get("path", "").split(",") for f in expand(g.strip())]
+        if not found or "dataset" not in self.options:
+            raise GridError("h5files needs a path that names files and the option dataset")
+        return found
+
+    def schema(self) -> T.StructType:
+        box, o = find(self._paths()[0][0], self.options["dataset"])
+        with box:
+            p = plan_of(box, o)
+        return T.StructType([T.StructField("file", T.StringType(), False), *cell_schema(len(p.dims), p.type).fields])
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return H5FilesReader(self._paths(), self.options["dataset"])
+
+
 class H5Source(DataSource):
     """Options: path, dataset."""
 
@@ -239,6 +289,7 @@ def cell_schema(rank: int, t: G.Type) -> T.StructType:
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(H5Source)
+    spark.dataSource.register(H5FilesSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyarrow import fs
 
 from ..errors import FormatError
@@ -16,6 +18,19 @@ def locate(path: str):
     return fs.LocalFileSystem(), path
 
 
+def expand(pattern: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files that a pattern names, in order; * and ? stand for anything, / included."""
+    system, inner = locate(pattern)
+    prefix = pattern[: len(pattern) - len(inner)] if "://" in pattern else ""
+    wild = min((inner.find(c) for c in "*?[" if c in inner), default=-1)
+    if wild < 0:
+        found = [system.get_file_info(inner)]
+    else:
+        found = system.get_file_info(fs.FileSelector(inner[:wild].rpartition("/")[0] or ".", recursive=True, allow_not_found=True))
+        found = [f for f in found if fnmatch(f.path, inner)]
+    return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
+
+
 class Ranges:
     """Random reads of one file, in cached blocks; headers cluster, so few blocks serve a whole parse."""
 

@@ -176,7 +176,8 @@ class ContainerWriter:
 
         same = o.dtype == D.stored(o.type) and not o.type.has_vlen
         fill = o.fill if o.fill and same else b""
-        node.messages = [(DATASPACE, space_message(o.extents)), (DATATYPE, D.encode(o.type)), (FILL, struct.pack("<4B", 2, 3 if o.pipeline.filters else 2, 0, 1) + struct.pack("<I", len(fill)) + fill)]
+        bits = (o.dtype.metadata or {}).get("precision") if same else None
+        node.messages = [(DATASPACE, space_message(o.extents)), (DATATYPE, D.encode(o.type, bits)), (FILL, struct.pack("<4B", 2, 3 if o.pipeline.filters else 2, 0, 1) + struct.pack("<I", len(fill)) + fill)]
         if o.pipeline.filters:
             node.messages.append((PIPELINE, pipeline_message(o.pipeline)))
         if o.layout == "virtual":
@@ -335,7 +336,8 @@ class ContainerWriter:
         if t.has_vlen and body:
             raise FormatError("a fill value of variable length is not written")
         alloc = 3 if pipe.filters else 2
-        node.messages = [(DATASPACE, space_message(extents)), (DATATYPE, D.encode(t)), (FILL, struct.pack("<4B", 2, alloc, 0, 1) + struct.pack("<I", len(body)) + body)]
+        bits = next((f.params[6] for f in pipe.filters if f.name == "nbit"), None)
+        node.messages = [(DATASPACE, space_message(extents)), (DATATYPE, D.encode(t, bits)), (FILL, struct.pack("<4B", 2, alloc, 0, 1) + struct.pack("<I", len(body)) + body)]
         if pipe.filters:
             node.messages.append((PIPELINE, pipeline_message(pipe)))
         self._add(path, ("hard", node))
@@ -608,7 +610,9 @@ def lowered(filters: Sequence[Filter], t: G.Type, elements: int) -> Pipeline:
         elif f.name == "shuffle":
             p = (t.size,)
         elif f.name == "nbit":
-            p = (8, 0, elements, 1, t.size, 0, 8 * t.size, 0)
+            if p and not (0 < p[0] <= 8 * t.size and isinstance(t, (G.Integer, G.Unsigned))):
+                raise GridError("n-bit: integers of at most their own bits")
+            p = (8, 0, elements, 1, t.size, 0, p[0] if p else 8 * t.size, 0)
         elif f.name == "scaleoffset":
             is_float = isinstance(t, G.Float)
             p = (0 if is_float else 2, p[0] if p else 0, elements, int(is_float), t.size, int(isinstance(t, G.Integer)), 0, 0) + (0,) * 12
@@ -628,7 +632,7 @@ def lowered(filters: Sequence[Filter], t: G.Type, elements: int) -> Pipeline:
 
 
 def chunk_blobs(a: ArrayFrame, chunk: Sequence[int], pipe: Pipeline):
-    """(c0.., blob): the filtered bytes of every chunk that has cells, sorted by chunk; tasks do the packing."""
+    """(c0.., blob): the filtered bytes of every chunk that has cells, in any order; tasks do the packing."""
     keys = [f"c{k}" for k in range(a.ndim)]
     st, n, t, fill = strides(chunk), prod(chunk), a.type, a.fill_value
     at = [F.floor(F.col(x) / c).cast("bigint").alias(k) for k, x, c in zip(keys, a.names, chunk)]
@@ -649,5 +653,4 @@ def chunk_blobs(a: ArrayFrame, chunk: Sequence[int], pipe: Pipeline):
             raw = b"".join(cells)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "blob": [pipe.encode(raw, t.size)]})
 
-    blobs = a.df.select(*at, inner, "v").groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} bigint" for k in keys) + ", blob binary")
-    return blobs.sort(*keys)
+    return a.df.select(*at, inner, "v").groupBy(*keys).applyInPandas(pack, ", ".join(f"{k} bigint" for k in keys) + ", blob binary")

@@ -220,3 +220,43 @@ def test_large_attributes(tmp_path):
     a = read_attrs(p, "/d")
     assert list(a) == ["first", "large", "a0", "a1", "a2", "a3", "a4", "text"]
     assert a["large"].value == np.arange(20_000.0).tolist() and a["a4"].value == 4 and a["text"].value == "é"
+
+
+def test_nbit_keeps_signs(tmp_path, spark):
+    p, values = str(tmp_path / "n.h5"), np.array([-1, -5, 7, 2047, -2048, 0], "i2")
+    with ContainerWriter(p) as w:
+        w.dataset("/signed", values, chunk=(4,), filters=[Filter("nbit", (12,))])
+        w.dataset("/unsigned", np.array([0, 5, 4095], "u2"), chunk=(2,), filters=[Filter("nbit", (12,))])
+        with pytest.raises(GridError):
+            w.dataset("/wide", values, chunk=(4,), filters=[Filter("nbit", (17,))])
+    assert read_values(p, "/signed").tolist() == values.tolist() and read_values(p, "/unsigned").tolist() == [0, 5, 4095]
+    assert [r.v for r in read_array(spark, p, "/signed").df.orderBy("d0").collect()] == values.tolist()
+    assert storage_size(p, "/signed") == 12
+    from gridspark.file import File
+
+    with File(p, "a") as f:
+        f.dataset("/more", [1], type=G.I8)
+    assert read_values(p, "/signed").tolist() == values.tolist()
+
+
+def test_many_files(tmp_path, spark):
+    for k in range(4):
+        with ContainerWriter(str(tmp_path / f"x{k}.h5")) as w:
+            w.dataset("/d", np.arange(k, dtype="i8"))
+    register(spark)
+    load = lambda p: spark.read.format("h5files").option("dataset", "/d").load(p)
+    got = load(f"{tmp_path}/x*.h5")
+    assert got.columns == ["file", "d0", "v"]
+    assert sorted((r.file[-4], r.d0, r.v) for r in got.collect()) == [(str(k), i, i) for k in range(4) for i in range(k)]
+    assert load(f"{tmp_path}/x1.h5,{tmp_path}/x3.h5").count() == 4
+    with pytest.raises(Exception, match="names files"):
+        load(f"{tmp_path}/y*.h5").count()
+
+
+def test_grid_within_bounds(tmp_path):
+    p = str(tmp_path / "g.h5")
+    with ContainerWriter(p) as w:
+        w.dataset("/d", np.arange(400).reshape(20, 20), chunk=(3, 7))
+    r = H5Reader(p, "/d")
+    r.bounds = [(4, 8), (0, 6)]
+    assert sorted(b[0] for c in r.partitions() for b in c.boxes) == [(3, 0), (6, 0)]
