@@ -163,13 +163,9 @@ class ArrayFrame:
         return replace(self, df=grid.join(self.df, self.names, "left").select(*self.names, F.coalesce("v", self._fill()).alias("v")))
 
     def grid(self, dims: Sequence[int] | None = None) -> DataFrame:
-        """All coordinates. The leading axis is a distributed range, the others are exploded in place; no join."""
+        """All coordinates: a distributed range over row-major positions, taken apart by arithmetic; no join and no array."""
         dims = self.shape if dims is None else tuple(dims)
-        df = self._spark().range(dims[0] if dims else 1)
-        df = df.withColumnRenamed("id", "d0") if dims else df.drop("id")
-        for k, d in enumerate(dims[1:], 1):
-            df = df.withColumn(f"d{k}", F.explode(F.sequence(F.lit(0), F.lit(d - 1)).cast("array<bigint>"))) if d else df.where(F.lit(False)).withColumn(f"d{k}", F.lit(0).cast("bigint"))
-        return df
+        return self._spark().range(prod(dims)).select(*[F.expr(f"id div {s} % {d}").cast("bigint").alias(f"d{k}") for k, (s, d) in enumerate(zip(strides(dims), dims))])
 
     def with_linear(self, name: str = "i") -> DataFrame:
         """Cells with their row-major position."""
@@ -217,7 +213,7 @@ class ArrayFrame:
 
     def write_slice(self, what, values: ArrayFrame) -> ArrayFrame:
         """The array with a selection's cells replaced, by position in row-major order. Where a cell is selected
-        twice the last value stays. One join: the old cells keep their partitioning."""
+        twice the last value stays. Up to BROADCAST_POINTS values the old cells aren't shuffled."""
         s = Selection.of(what)
         if s.size(self.shape) != values.size:
             raise SelectionError(f"{values.size} values for {s.size(self.shape)} cells")
@@ -232,11 +228,15 @@ class ArrayFrame:
                 at = F.floor(F.col("ord") / st) % length
                 new = new.withColumn(n + "_", (F.lit(a.start) + F.floor(at / a.block) * a.step + at % a.block).cast("bigint"))
             new = new.select("ord", "v", *[F.col(n + "_").alias(n) for n in self.names]) if axes else new.where(F.lit(False)).select("ord", "v", *[F.lit(0).cast("bigint").alias(n) for n in self.names])
-        return self.upsert(new)
+        return self.upsert(new, few=values.size <= BROADCAST_POINTS)
 
-    def upsert(self, cells: DataFrame, order: str = "ord") -> ArrayFrame:
-        """Cells (coordinates, v, order) put over the array; the last by order wins."""
+    def upsert(self, cells: DataFrame, order: str = "ord", few: bool = False) -> ArrayFrame:
+        """Cells (coordinates, v, order) put over the array; the last by order wins. `few`: there are at most BROADCAST_POINTS cells, by their count."""
         last = cells.groupBy(*self.names).agg(F.max_by("v", order).alias("new"), F.lit(True).alias("is_new"))
+        if few and self.ndim:
+            old = self.df.join(F.broadcast(last), self.names, "left").select(*self.names, F.when(F.col("is_new"), F.col("new")).otherwise(F.col("v")).alias("v"))
+            there = self.df.join(F.broadcast(last.select(*self.names)), self.names, "left_semi").select(*self.names)  # as few at most
+            return replace(self, df=old.unionByName(last.join(F.broadcast(there), self.names, "left_anti").select(*self.names, F.col("new").alias("v"))))
         df = self.df.join(last, self.names, "full").select(*self.names, F.when(F.col("is_new"), F.col("new")).otherwise(F.col("v")).alias("v"))
         return replace(self, df=df)
 

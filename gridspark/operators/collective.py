@@ -25,6 +25,16 @@ def gather(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
     return df.agg(F.transform(pairs, lambda p: p.getField(value)).alias("gathered"))
 
 
+def allgather(df: DataFrame, value: str, rank: str = "rank") -> DataFrame:
+    """(rank, gathered): every rank with the values of all, in order of rank."""
+    return df.select(rank).distinct().crossJoin(F.broadcast(gather(df, value, rank)))  # one row on the right
+
+
+def barrier(df: DataFrame, rank: str = "rank") -> int:
+    """Waits until the rows of all ranks are there; how many ranks came."""
+    return df.select(rank).distinct().count()
+
+
 def bcast(df: DataFrame, value: str, root: int = 0, rank: str = "rank") -> DataFrame:
     one = df.where(F.col(rank) == root).select(F.col(value).alias(value))
     return df.select(rank).distinct().crossJoin(F.broadcast(one))  # one row on the right

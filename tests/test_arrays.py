@@ -159,3 +159,40 @@ def test_hierarchy(spark):
         loop.resolve("/loop")
     many = spark.createDataFrame([("/a/b/c/leaf",), ("/z",), ("/q",), ("/",)], "path string")
     assert {r["path"]: r["obj"] for r in c.resolve_all(many).collect()} == {"/a/b/c/leaf": leaf, "/z": c.resolve("/z"), "/q": None, "/": 0}
+
+
+def test_small_patches_are_not_shuffled(spark):
+    a = ArrayFrame.from_values(spark, list(range(50)), G.I64)
+    sparse = ArrayFrame(a.df.where("d0 % 2 = 0"), a.extents, G.I64)
+    patch = ArrayFrame.from_values(spark, [-1, -2, -3], G.I64)
+    for x in (a, sparse):
+        few, many = x.write_slice(s_[3:9:2], patch), x.upsert(spark.createDataFrame([(3, 0, -1), (5, 1, -2), (7, 2, -3)], "d0 bigint, ord bigint, v bigint"))
+        want = {r.d0: r.v for r in many.df.collect()}
+        assert {r.d0: r.v for r in few.df.collect()} == want and want[5] == -2 and few.df.count() == many.df.count()
+    plan = sparse.write_slice(s_[3:9:2], patch).df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+
+
+def test_tensors(spark):
+    from gridspark.errors import SelectionError
+    from gridspark.operators import tensor
+
+    a, b = ArrayFrame.from_values(spark, [[1, -2], [3, 4], [0, 1]], G.I32), ArrayFrame.from_values(spark, [[1.0, 0.5], [2.0, -1.0]], G.F64)
+    assert tensor.matmul(a, b).collect().tolist() == [[-3.0, 2.5], [11.0, -2.5], [2.0, -1.0]]
+    assert tensor.relu(a).collect().tolist() == [[1, 0], [3, 4], [0, 1]]
+    with pytest.raises(SelectionError):
+        tensor.matmul(b, a)
+
+
+def test_grids_are_ranges(spark):
+    a = ArrayFrame.filled(spark, Extents.of([2, 3, 2]), G.I32)
+    assert sorted(map(tuple, a.grid().collect())) == [(i, j, k) for i in range(2) for j in range(3) for k in range(2)]
+    assert a.grid([4, 0]).count() == 0
+
+
+def test_arrays_of_variable_length(spark):
+    from gridspark.functions import arrays as A
+
+    df = spark.createDataFrame([([1, 2, 3, 4],), ([],), (None,)], "v array<int>")
+    got = df.select(A.length(F.col("v")), A.part(F.col("v"), 1, 3), A.part(F.col("v"), 2), A.equal(F.col("v"), F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [(4, [2, 3], [3, 4], True), (0, [], [], True), (None, None, None, True)]
