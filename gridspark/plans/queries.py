@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import types as G
+from ..functions import arrays as A
 from ..functions import convert as C
 from ..functions import codecs as K
-from ..operators import collective
+from ..operators import collective, tensor
 from ..operators.array import ArrayFrame, num_chunks
 from ..operators.catalog import ATTRS, LINKS, OBJECTS, Catalog
 from ..operators.vds import Mapping, compose
@@ -137,10 +138,11 @@ def slab_row_mean(spark, sf):
     return a.df.groupBy("d0").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean_v"), F.count("*").alias("n"))
 
 
-@query("select string_agg(d::varchar, '' order by d) as shape, 100 // 7 + 1 as n from (select 1 as d) group by 2")
+@query("select 'rows' as what, ((count(*) + 6) // 7)::bigint as n from embeddings union all select 'columns', 4 union all select 'points', 6")
 def out_shape_metadata(spark, sf):
-    s = Selection.slab(Slice(0, 7))
-    return spark.createDataFrame([("1", s.out_shape((100,))[0])], "shape string, n int")
+    shape = emb(spark, sf).shape
+    slab = Selection.slab(Slice(0, 7), Slice(0, 4, 16, block=1)).out_shape(shape)
+    return spark.createDataFrame([("rows", slab[0]), ("columns", slab[1]), ("points", Selection.points(POINTS).out_shape(shape)[0])], "what string, n bigint")
 
 
 # Conversions
@@ -238,12 +240,13 @@ def fixed_array_cast(spark, sf):
 
 @query("select doc_id as d0, len(string_split(text, ' '))::bigint as v from documents")
 def vlen_array_len(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("d0"), F.size(F.split("text", " ")).cast("bigint").alias("v"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("d0"), A.length(F.split("text", " ")).alias("v"))
 
 
-@query("select doc_id as d0, list_slice(string_split(text, ' '), 2, 4)[1] as v from documents")
+@query("select doc_id as d0, array_to_string(list_slice(string_split(text, ' '), 2, 4), ' ') as v, list_slice(string_split(text, ' '), 2, 4) = list_slice(string_split(text, ' '), 1, 3) as same from documents")
 def vlen_array_slice(spark, sf):
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("d0"), F.get(F.slice(F.split("text", " "), 2, 3), F.lit(0)).alias("v"))
+    items = F.split("text", " ")
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("d0"), F.array_join(A.part(items, 1, 4), " ").alias("v"), A.equal(A.part(items, 1, 4), A.part(items, 0, 3)).alias("same"))
 
 
 @query("select doc_id as d0, quality::float as v from labels")
@@ -251,16 +254,6 @@ def tensor_read_f32(spark, sf):
     return table(spark, sf, "labels").select(F.col("doc_id").alias("d0"), C.tensor_f32(F.col("quality"), G.I32).alias("v"))
 
 
-@query("select sum(strlen(text))::bigint as bytes from documents")
-def storage_size(spark, sf):
-    return table(spark, sf, "documents").agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
-
-
-@query("select region.r_regionkey::bigint as d0, hex(r_name::blob) as v from region")
-def raw_bytes(spark, sf):
-    return table(spark, sf, "region").select(F.col("r_regionkey").cast("bigint").alias("d0"), F.hex(F.col("r_name").cast("binary")).alias("v"))
-
-
 # Chunks, fill, writing
 
 
@@ -411,14 +404,9 @@ def path_of(spark, sf):
     return catalog(spark, sf).paths(max_depth=3)
 
 
-@query("with recursive t(obj, path, depth) as (select 0::bigint, '/', 0 union all select l.child, rtrim(t.path, '/') || '/' || l.name, t.depth + 1 from t join (select 0::bigint as parent, r_name as name, (r_regionkey + 1)::bigint as child from region union all select n_regionkey + 1, n_name, n_nationkey + 100 from nation) l on l.parent = t.obj) select obj, path, depth from t")
-def path_recursive_sql(spark, sf):
-    c = catalog(spark, sf)
-    links = c.links.where("child < 1000")  # groups only
-    return spark.sql(
-        "with recursive t(obj, path, depth) as (select 0L, '/', 0 union all select l.child, concat(rtrim('/', t.path), '/', l.name), t.depth + 1 from t join {links} l on l.parent = t.obj) select obj, path, depth from t",
-        links=links,
-    )
+@query(f"select 0::bigint as obj, 0 as depth union all select r_regionkey + 1, 1 from region union all select n_nationkey + 100, 2 from nation union all select obj, 3 from {CUST}")
+def path_depths(spark, sf):
+    return catalog(spark, sf).paths().select("obj", F.when(F.col("path") == "/", 0).otherwise(F.size(F.split("path", "/")) - 1).alias("depth"))
 
 
 @query("select kind, count(*) as n, sum(links)::bigint as links from (select 'group' as kind, 1 as links union all select 'group', 1 from region union all select 'group', 1 from nation union all select 'dataset', 1 from customer) group by 1")
@@ -460,23 +448,33 @@ def bcast_root(spark, sf):
     return collective.bcast(_ranked(spark, sf), "k", root=2)
 
 
-@query("select g.range as d0, coalesce(arg_max(l.v, l.rank), 0.0) as v from range(500) g left join (select event_id % 500 as d0, event_id // 500 as rank, value as v from events where event_id < 2000) l on g.range = l.d0 group by 1")
+@query("select g.d0, coalesce(arg_max(l.v, l.rank), 0.0) as v from (select unnest(range((select (count(*) + 3) // 4 from events))) as d0) g left join (select event_id // 4 as d0, event_id % 4 as rank, value as v from events where event_id % 3 <> 0) l on g.d0 = l.d0 group by 1")
 def collective_merge(spark, sf):
-    log = table(spark, sf, "events").where("event_id < 2000").select((F.col("event_id") % 500).alias("d0"), F.floor(F.col("event_id") / 500).alias("rank"), F.col("value").alias("v"))
+    df = table(spark, sf, "events")
+    log = df.where("event_id % 3 <> 0").select(F.floor(F.col("event_id") / 4).cast("bigint").alias("d0"), collective.rank_of("event_id", 4).alias("rank"), F.col("value").alias("v"))
     from ..extents import Extents
 
-    base = ArrayFrame.filled(spark, Extents.of([500]), G.F64)
+    base = ArrayFrame.filled(spark, Extents.of([-(-df.count() // 4)]), G.F64)
     return collective.merge(base, log).dense().df
 
 
+@query("select r.range::integer as rank, s.g as gathered from range(4) r, (select string_agg(k::varchar, ' ' order by rank) as g from (select event_id % 4 as rank, sum(event_id)::bigint as k from events group by 1)) s")
+def allgather_ranks(spark, sf):
+    return collective.allgather(_ranked(spark, sf), "k").withColumn("gathered", F.array_join(F.col("gathered").cast("array<string>"), " "))
+
+
+@query("select count(distinct event_id % 4)::bigint as ranks from events")
+def barrier_ranks(spark, sf):
+    return spark.createDataFrame([(collective.barrier(_ranked(spark, sf)),)], "ranks bigint")
+
+
 # Tensors and codecs
 
 
-@query(f"select a.d0, b.j, greatest(round(sum(a.v::double * b.w), 4), 0.0) as v from {EMB} a join (select i.range as i, j.range as j, ((i.range * 3 + j.range * 5) % 7 - 3)::double as w from range(64) i, range(4) j) b on a.d1 = b.i group by 1, 2")
+@query(f"select a.d0, b.j as d1, greatest(round(sum(a.v::double * b.w), 4), 0.0) as v from {EMB} a join (select i.range as i, j.range as j, ((i.range * 3 + j.range * 5) % 7 - 3)::double as w from range(64) i, range(4) j) b on a.d1 = b.i group by 1, 2")
 def matmul_relu(spark, sf):
-    w = spark.range(64).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("j")).withColumn("w", ((F.col("i") * 3 + F.col("j") * 5) % 7 - 3).cast("double"))
-    out = emb(spark, sf).df.join(F.broadcast(w), F.col("d1") == F.col("i")).groupBy("d0", "j")  # 256 rows
-    return out.agg(F.greatest(F.round(F.sum(F.col("v").cast("double") * F.col("w")), 4), F.lit(0.0)).alias("v"))
+    w = ArrayFrame.from_values(spark, [[float((i * 3 + j * 5) % 7 - 3) for j in range(4)] for i in range(64)], G.F64)
+    return tensor.relu(tensor.each(tensor.matmul(emb(spark, sf), w), lambda v: F.round(v, 4))).df
 
 
 @query("select doc_id, strlen(text)::bigint as n, strlen(text)::bigint + 4 as stored, true as same from documents")
@@ -487,12 +485,12 @@ def fletcher32_round_trip(spark, sf):
     return df.select("doc_id", F.octet_length("raw").cast("bigint").alias("n"), F.octet_length("enc").cast("bigint").alias("stored"), (F.col("raw") == F.col("dec")).alias("same"))
 
 
-@query("select doc_id, true as same, true as smaller from documents where strlen(text) >= 4000")
+@query("select doc_id, strlen(text)::bigint as n, true as same from documents")
 def filter_pipeline_round_trip(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("raw")).where(F.octet_length("raw") >= 4000)
+    df = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
     pipe = K.Pipeline([K.Filter("shuffle"), K.Filter("deflate", (6,)), K.Filter("fletcher32")])
     df = df.withColumn("enc", K.encode_column("raw", pipe, 4)).withColumn("dec", K.decode_column("enc", pipe, 4))
-    return df.select("doc_id", (F.col("raw") == F.col("dec")).alias("same"), (F.octet_length("enc") < F.octet_length("raw")).alias("smaller"))
+    return df.select("doc_id", F.octet_length("dec").cast("bigint").alias("n"), (F.col("raw") == F.col("dec")).alias("same"))
 
 
 # The container itself: written to the shared folder, read back by the data source
