@@ -298,7 +298,7 @@ def slack(hashes: np.ndarray, similarity: float) -> int:
 
 def parity(hashes: np.ndarray) -> bytes:
     """Whether each place has an odd number of hashes; two sets differ in at least as many elements as in places."""
-    bits = max(256, 1 << len(hashes).bit_length())
+    bits = max(1024, 1 << (2 * len(hashes)).bit_length())
     odd = np.bincount(((hashes >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -348,6 +348,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name)], names=["key", "set_hash"])
 
 
+def may_pairs(size: np.ndarray, places: list[bytes], similarity: float, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each set with the later ones of other roots that may have the similarity with it, by their sizes and parities."""
+    width = min(map(len, places))
+    bits = np.array([np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, width // 8)) for p in places])
+    share = (1 - similarity) / (1 + similarity)
+    for i in range(len(size) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        n = size[rest]
+        rest = rest[np.minimum(n, size[i]) >= similarity * np.maximum(n, size[i]) - 1e-6]
+        rest = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64) <= share * (size[rest] + size[i]) + 1e-6]
+        if len(rest):
+            yield i, rest
+
+
 def shared_keys(keyed: DataFrame, sets: DataFrame, staged: Staged, common: int) -> DataFrame:
     """(key, set_hash) of the keys that sets of different roots share; `sets` has set_hash, root (equal ones are linked already), n and slack.
 
@@ -370,8 +384,8 @@ def _open_keys(rows: DataFrame) -> DataFrame:
 
 
 def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: float, block: int) -> DataFrame:
-    """(g, set_hash, link): of sets that share a key and may have the similarity by their sizes and parities, links between sets of different
-    roots, enough to connect all (link: g is the other set), and the groups so connected (g names the group)."""
+    """(g, h, set_hash, link): of sets that share a key and may have the similarity by their sizes and parities, links between sets of different
+    roots, enough to connect all (link: g is the other set), and for each pair of roots (g, h) between which a pair may have it, the sets of such pairs."""
     rows = staged.put(_open_keys(shared.join(sets.select("set_hash", "root"), "set_hash")))
     # Keys of the same sets say the same; one of them is looked at.
     rows = rows.join(rows.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
@@ -383,24 +397,24 @@ def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: f
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "set_hash"])
         key, name, root, size, places = pdf["key"].to_numpy(), pdf["set_hash"].to_numpy(), pdf["root"].to_numpy(), pdf["n"].to_numpy(), pdf["places"].tolist()
-        first, second, link, i = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], 0
+        out, i = [np.zeros((0, 4), np.int64)], 0
         for j in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]:
             a, b = (np.array(x, np.int64) for x in may_links(size[i:j], places[i:j], similarity))
             apart = root[a + i] != root[b + i]
-            label = local_components(j - i, a, b)
-            found = [(name[a[apart] + i], name[b[apart] + i], True)]
-            for x in np.unique(label[b[apart]]):
-                at = np.flatnonzero(label == x) + i
-                named = xxhash.xxh3_64_intdigest(name[at].tobytes()) - (1 << 63)  # the same group found by several keys has one name
-                found.append((np.full(len(at), named, np.int64), name[at], False))
-            for x, y, z in found:
-                first.append(x)
-                second.append(y)
-                link.append(np.full(len(x), z))
+            if apart.any():
+                out.append(np.stack([name[a[apart] + i], np.zeros(apart.sum(), np.int64), name[b[apart] + i], np.ones(apart.sum(), np.int64)], 1))
+                label = local_components(j - i, a, b)
+                for x in np.unique(label[b[apart]]):
+                    at = np.flatnonzero(label == x) + i
+                    for k, also in may_pairs(size[at], [places[y] for y in at], similarity, root[at]):
+                        lo, hi = np.minimum(root[at[k]], root[at[also]]), np.maximum(root[at[k]], root[at[also]])
+                        for who in (np.full(len(also), name[at[k]]), name[at[also]]):
+                            out.append(np.unique(np.stack([lo, hi, who, np.zeros(len(also), np.int64)], 1), axis=0))
             i = j
-        return pd.DataFrame({"g": np.concatenate(first), "set_hash": np.concatenate(second), "link": np.concatenate(link)}).drop_duplicates()
+        found = pd.DataFrame(np.concatenate(out), columns=["g", "h", "set_hash", "link"]).drop_duplicates()
+        return found.assign(link=found["link"] > 0)
 
-    return staged.put(rows.groupBy("g").applyInPandas(join, "g long, set_hash long, link boolean").distinct())
+    return staged.put(rows.groupBy("g").applyInPandas(join, "g long, h long, set_hash long, link boolean").distinct())
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 10, rotations: int = 16, block: int = 1 << 12, common: int = 1000, together: int = 1 << 20, staged: Staged | None = None) -> DataFrame:
@@ -503,9 +517,11 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     groups = key_groups(shared, sets, staged, similarity, block)
     links = links.unionByName(exact(around(groups.where("link").select(F.col("g").alias("hub"), "set_hash")), sets))
     sets = rooted(links)
-    groups = groups.where("not link").select("g", "set_hash")
-    left = groups.join(sets.select("set_hash", "root"), "set_hash").groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    links = links.unionByName(exact(groups.join(left.select("g"), "g", "left_semi"), sets))
+    now = sets.select("set_hash", "root")
+    groups = groups.where("not link").select("g", "h", "set_hash")
+    open_ = groups.select("g", "h").distinct().join(now.toDF("g", "g_root"), "g").join(now.toDF("h", "h_root"), "h").where("g_root <> h_root").select("g", "h")
+    groups = groups.join(open_, ["g", "h"]).select(F.xxhash64("g", "h").alias("g"), "set_hash")
+    links = links.unionByName(exact(groups, sets))
     found = _least_of(classes, connected_components(links, staged), "set_hash", "rep", staged)
     member = classes.select("set_hash", "rep").join(found, "set_hash", "left").select("set_hash", F.coalesce("found", "rep").alias("least"))
     return own.join(member, "set_hash").select("id", "text_hash", F.col("least.id").alias("component_id"), F.col("least.text_hash").alias("component_hash"))

@@ -253,7 +253,7 @@ def _key(id_col: str, text_col: str) -> list:
     return [F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("tag")]
 
 
-def _prefilter(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int = 1_000_000) -> DataFrame:
+def _prefilter(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int = 400_000) -> DataFrame:
     """Packed runs by bucket, without those that repeat another of their batch; the spans of these are in the bucket SETTLED."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
