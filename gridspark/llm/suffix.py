@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import Staged, col, in_batches, small
 
 #: Bytes read at once by a task, and the most that one segment of a long text has.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 #: Windows sorted at once by a task.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 NULL_ID = -(1 << 63)
 
 _RNG = np.random.default_rng(20_240_229)
@@ -253,7 +253,7 @@ def _key(id_col: str, text_col: str) -> list:
     return [F.coalesce(col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.xxhash64(text).alias("tag")]
 
 
-def _prefilter(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int = 400_000) -> DataFrame:
+def _prefilter(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int = 200_000) -> DataFrame:
     """Packed runs by bucket, without those that repeat another of their batch; the spans of these are in the bucket SETTLED."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +299,7 @@ def _prefilter(docs: DataFrame, depth: int, gram: int, buckets: int, hold: int =
                     size += len(part)
             if sum(len(h["doc"]) for h in held) > hold:
                 yield flush()
+                pa.default_memory_pool().release_unused()
         take()
         if held:
             yield flush()
