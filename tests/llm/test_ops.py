@@ -284,14 +284,15 @@ def test_one_line_in_every_document(spark, monkeypatch):
     line, found, own = "the one line that every single document of this table holds, in ever other words around it, here", [], suffix._overloading
 
     def spy(*args):
-        found.append(own(*args))
-        return found[-1]
+        hot = own(*args)
+        found.append(0 if hot is None else hot.count())
+        return hot
 
     monkeypatch.setattr(suffix, "_overloading", spy)
     rows = [(i, f"{hashlib.md5(b'%d' % (i % 380)).hexdigest()[:8]} {line} {hashlib.sha256(b'%d' % (i % 390)).hexdigest()[:8]}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     got = {r["row"]["doc_id"]: [(s["start"], s["stop"]) for s in r["spans"]] for r in suffix.remove_repeats(df, ["doc_id"], hot_rows=20).collect()}
-    assert found[0] is not None and found[0].count() > 0
+    assert found[0] > 0
     for i, b, gone in brute_repeats(rows):
         edge = np.diff(np.r_[0, gone.astype(int), 0])
         assert got[i] == list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
