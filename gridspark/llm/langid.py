@@ -10,7 +10,8 @@ collected is one number a piece and language.
 
 Defined results: null text or text without a letter is `und` with score 0, as is every text if nothing
 could be learned; rows with a null language are not learned from; ties go to the language
-first in code-point order.
+first in code-point order; repeated rows have equal results; very long texts are scored whole, from their distinct words; an empty table gives an empty table;
+other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ the number of pieces of the best segmentation, and no segmentation itself. Ties
 tokenizer breaks them: a later candidate must be strictly better, candidates come in order
 of their start. A character that no piece covers costs the least score less a penalty and counts as its bytes.
 
-Defined results: null or empty text has 0 tokens.
+Defined results: null or empty text has 0 tokens; a null id is carried; very long texts are counted whole, a word at a time; repeated rows and ties are
+rows of their own with equal counts; an empty table gives an empty table; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
