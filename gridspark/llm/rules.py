@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col, in_batches, small
+from .common import Staged, by_group, col, in_batches, small
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -245,7 +245,7 @@ def mcd(rows: DataFrame, staged: Staged, *, h: float = 0.75, c_steps: int = 4, b
         found = starts([x["bin"].to_numpy() for x in of], [x["n"].to_numpy() for x in of])
         return pd.concat([_model(pdf, k, mean, np.diag(np.square(sd)), of[0]["n"].sum()) for k, (mean, sd) in enumerate(found)])
 
-    model = staged.put(hist.groupBy("lang", "source").applyInPandas(start, MODEL_DDL))
+    model = staged.put(by_group(hist, ["lang", "source"], start, MODEL_DDL))
     groups = model.count()
     for k in range(c_steps + 1):
         last = k == c_steps
@@ -257,7 +257,7 @@ def mcd(rows: DataFrame, staged: Staged, *, h: float = 0.75, c_steps: int = 4, b
         binned = near.withColumn("bin", F.least(log, F.lit(HIGH * PER_OCTAVE)))
         sums = [F.sum(p).alias(f"s{i}") for i, p in enumerate(PARTS)] + [F.sum(F.col(PARTS[i]) * F.col(PARTS[j])).alias(f"q{i}_{j}") for i, j in PAIRS]
         binned = binned.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
-        before, model = model, staged.put(binned.groupBy(*GROUP).applyInPandas(_step(h, last), MODEL_DDL))
+        before, model = model, staged.put(by_group(binned, GROUP, _step(h, last), MODEL_DDL))
         if not last:
             staged.drop(before)
     return model

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col, in_batches, small
+from .common import Staged, by_group, col, in_batches, small
 from .components import connected_components, local_components
 
 SEED = 42
@@ -189,7 +189,7 @@ def near_links(distinct: DataFrame, *, k: int = 4, rotations: int = 8, block: in
         crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 4 * block)
         rows = _blocks(rows.join(crowded, "key", "left").withColumn("n", F.coalesce("n", F.lit(1))), "n", block, "t")
         group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // block))))).otherwise(F.xxhash64("key", "p.i", "p.j"))
-        rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "key", "t")
+        rows = rows.select((F.col("blocks") > 1).alias("blocked"), group.alias("g"), "key", "t")
     else:  # small keys share a task: about `block` rows each
         rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // block)))).alias("g"), "key", "t")
 
@@ -204,7 +204,7 @@ def near_links(distinct: DataFrame, *, k: int = 4, rotations: int = 8, block: in
         fp = np.where(back > 0, (t >> back) | (t << ((np.uint64(bits) - back) % np.uint64(bits))), t).view(np.int64)
         return pd.DataFrame({"u": fp[child], "v": fp[label[child]]})
 
-    return rows.groupBy("g").applyInPandas(join, "u long, v long")
+    return by_group(rows, [c for c in rows.columns if c not in ("key", "t")], join, "u long, v long")
 
 
 def _least_of(nodes: DataFrame, roots: DataFrame, name: str, least: str, staged: Staged) -> DataFrame:
@@ -392,7 +392,7 @@ def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: f
     bins = max(1, -(-rows.count() // block))
     rows = _blocks(rows, "m", block, "set_hash")
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.xxhash64("key", "p.i", "p.j"))
-    rows = rows.select(F.struct(F.col("blocks") > 1, group).alias("g"), "key", "set_hash", "root").join(sets.select("set_hash", "n", "places"), "set_hash")
+    rows = rows.select((F.col("blocks") > 1).alias("blocked"), group.alias("g"), "key", "set_hash", "root").join(sets.select("set_hash", "n", "places"), "set_hash")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "set_hash"])
@@ -414,7 +414,7 @@ def key_groups(shared: DataFrame, sets: DataFrame, staged: Staged, similarity: f
         found = pd.DataFrame(np.concatenate(out), columns=["g", "h", "set_hash", "link"]).drop_duplicates()
         return found.assign(link=found["link"] > 0)
 
-    return staged.put(rows.groupBy("g").applyInPandas(join, "g long, h long, set_hash long, link boolean").distinct())
+    return staged.put(by_group(rows, ["blocked", "g"], join, "g long, h long, set_hash long, link boolean").distinct())
 
 
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, k: int = 10, rotations: int = 16, block: int = 1 << 12, common: int = 1000, together: int = 1 << 20, staged: Staged | None = None) -> DataFrame:
@@ -491,7 +491,7 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         there = staged.put(groups.join(sets.select("set_hash", "root", "rep"), "set_hash"))
         # Rows equal in id and text are one text; all three steps deal by rep, so texts are shuffled once.
         once = texts.join(there.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.first("text").alias("text"))
-        return staged.put(once.join(there, "rep").select("g", "set_hash", "root", "text").groupBy("g").applyInPandas(verify, "u long, v long"))
+        return staged.put(by_group(once.join(there, "rep").select("g", "set_hash", "root", "text"), ["g"], verify, "u long, v long"))
 
     def around(spokes: DataFrame) -> DataFrame:
         """Links (hub, set_hash) as groups of a hub and some of those linked to it, about `together` shingles in all."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, col, in_batches, small
+from .common import Staged, by_group, col, in_batches, small
 
 #: Bytes read at once by a task, and the most that one segment of a long text has.
 SEGMENT = 1 << 17
@@ -360,11 +360,11 @@ def _compare(packed: DataFrame, staged: Staged, depth: int, buckets: int, hot_ro
 
     hot = _overloading(packed, staged, buckets, hot_rows)
     if hot is None:
-        return packed.groupBy("bucket").applyInPandas(group, FOUND)
+        return by_group(packed, ["bucket"], group, FOUND)
     hot = small(hot, hot.agg(F.sum(F.size("hot"))).first()[0], 1 << 20)  # by how many anchors it lists
     theirs = packed.join(hot, "bucket").select("bucket", *RUN, "hot")
     others = packed.join(hot, "bucket", "left_anti").unionByName(theirs.mapInArrow(without, _ddl(RUN)))
-    return others.groupBy("bucket").applyInPandas(group, FOUND).unionByName(theirs.mapInArrow(single, FOUND))
+    return by_group(others, ["bucket"], group, FOUND).unionByName(theirs.mapInArrow(single, FOUND))
 
 
 def _sorted(docs: DataFrame, found: DataFrame, depth: int, buckets: int) -> DataFrame:
@@ -418,7 +418,7 @@ def _sorted(docs: DataFrame, found: DataFrame, depth: int, buckets: int) -> Data
         return _spans({c: np.r_[m[c], own[c]] for c in MARK})
 
     rows = in_batches(joined).mapInArrow(read, _ddl(OPEN | {"text": 0} | SINGLE | MARK))
-    return rows.groupBy("bucket").applyInPandas(group, SPANS)
+    return by_group(rows, ["bucket"], group, SPANS)
 
 
 def _settled(packed: DataFrame) -> DataFrame:

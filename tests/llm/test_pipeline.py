@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridspark.llm import rules, simhash, suffix
+from gridspark.llm.common import by_group
 from gridspark.llm.components import local_components
 
 from .test_ops import DDL, ROWS, brute_repeats, size_of, words
@@ -80,3 +81,31 @@ def test_near_stage_keeps_a_row_of_each_class_under_shared_ids(spark):
     assert len(got) == 4
     assert {(None, a), (None, b), (7, c)} < set(got)
     assert {i for i, t in got if t in (d, d + " more")} == {7}
+
+
+def test_groups_are_whole_across_batches(spark):
+    rows = [(None if i % 5 == 0 else f"k{i % 7}", i % 3, i, "x" * i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b long, n long, t string").repartition(3)
+
+    def f(pdf):
+        out = pdf.groupby(["a", "b"], dropna=False).agg(n=("n", "sum"), m=("t", "size")).reset_index()
+        return out[out.a != "k3"]
+
+    got = {(r.a, r.b, r.n, r.m) for r in by_group(df, ["a", "b"], f, "a string, b int, n long, m long").collect()}
+    own = {}
+    for a, b, n, _ in rows:
+        s, m = own.get((a, b), (0, 0))
+        own[a, b] = (s + n, m + 1)
+    assert got == {(*k, *x) for k, x in own.items() if k[0] != "k3"}
+    assert by_group(df.where("n < 0"), ["a", "b"], f, "a string, b int, n long, m long").count() == 0
+
+
+def test_stages_leave_no_arrow_buffers_behind(spark):
+    allocator = spark._jvm.org.apache.spark.sql.util.ArrowUtils.rootAllocator()
+    texts = [words(60) for _ in range(40)]
+    rows = [(i, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts + [t + " more" for t in texts] + [words(20) + t for t in texts])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").cache()
+    for _, f in corpus_pipeline.STAGES:
+        before = allocator.getAllocatedMemory()
+        f(spark, docs, "").collect()
+        assert allocator.getAllocatedMemory() <= before, f.__name__
